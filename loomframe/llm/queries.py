@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm import chat_format, language_id, media, url_filter
-from loomframe.llm.common import table, written
+from loomframe.llm import chat_format, decontaminate, language_id, media, mixing, token_store, url_filter
+from loomframe.llm.common import new_path, table, written
 
 #: The rules of the URL query.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -72,10 +72,39 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+#: Production parameters: weights of named sources; the others share the rest. Ids of the tokenizer's file.
+WEIGHTS = {"src0": 0.10, "src1": 0.08, "src2": 0.08, "src3": 0.06}
+END_ID = 1
+
+
+def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mixed(docs, WEIGHTS).select("doc_id", "source", "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_at")
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = new_path(spark, "tokens")
+    token_store.write_store(table(spark, sf_dir, "documents"), out, tokenizer_path(), END_ID)
+    return token_store.read_sums(spark, out, width=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_media_columns": op4_media_columns,
+    "op5_mixing_sources": op5_mixing_sources,
     "op6_language_id": op6_language_id,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_url_filters": op8_url_filters,
     "op9_chat_formatting": op9_chat_formatting,
+    "op10_token_store": op10_token_store,
 }
 SQL = {"op8_url_filters": OP8_SQL, "op9_chat_formatting": OP9_SQL}
