@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm import chat_format, decontaminate, language_id, media, mixing, token_store, url_filter
+from loomframe.llm import chat_format, decontaminate, language_id, media, mixing, simhash, token_store, url_filter
 from loomframe.llm.common import new_path, table, written
 
 #: The rules of the URL query.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = media.features(media.stored(table(spark, sf_dir, "documents")))
     return got.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "duration", "n_keyframes")
@@ -99,6 +104,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_simhash": op3_simhash,
     "op4_media_columns": op4_media_columns,
     "op5_mixing_sources": op5_mixing_sources,
     "op6_language_id": op6_language_id,
