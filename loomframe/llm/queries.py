@@ -7,13 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm import chat_format, decontaminate, language_id, media, mixing, simhash, token_store, url_filter
+from loomframe.llm import chat_format, decontaminate, language_id, media, mixing, simhash, substring_dedup, suffix_dedup, token_store, url_filter
 from loomframe.llm.common import new_path, table, written
 
 #: The rules of the URL query.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids, texts, corpus = substring_dedup.repeated_words(table(spark, sf_dir, "documents"))
+    told = texts.select("digest", F.col("n").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    out = written(ids.join(told, "digest").drop("digest"), "substring-dedup")
+    corpus.drop()
+    return out
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids, texts, corpus = suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents"))
+    told = texts.select("digest", F.col("n").alias("n_bytes"), "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    out = written(ids.join(told, "digest").drop("digest"), "suffix-dedup")
+    corpus.drop()
+    return out
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
@@ -104,6 +120,8 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_simhash": op3_simhash,
     "op4_media_columns": op4_media_columns,
     "op5_mixing_sources": op5_mixing_sources,
