@@ -207,9 +207,13 @@ def clean(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_text:
     for index in indexes(bench, item_text, block_items):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
-        @F.pandas_udf("boolean")
-        def hit(texts: pd.Series, sent=sent) -> pd.Series:
-            return pd.Series([bool(sent.value.leaks(t, threshold, overlap)) for t in texts], dtype=bool)
-
-        docs = docs.filter(~hit(F.col(text_col)))
+        docs = docs.filter(~leak_test(sent, threshold, overlap)(F.col(text_col)))
     return docs
+
+
+def leak_test(sent, threshold: float, overlap: float):
+    @F.pandas_udf("boolean")
+    def hit(texts: pd.Series) -> pd.Series:
+        return pd.Series([bool(sent.value.leaks(t, threshold, overlap)) for t in texts], dtype=bool)
+
+    return hit
