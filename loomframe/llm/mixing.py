@@ -1,6 +1,6 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Documents of a source are put in a hashed order and cut into blocks. Weights
+Documents of a source are put in the order of their ids' MD5 and cut into blocks. Weights
 are whole shares of a cycle of `cycle` slots; block j (from 0) of a source with
 share q is released at slot floor(j cycle / q) and due by slot
 ceil((j + 1) cycle / q). Earliest deadline first among released blocks fills
@@ -76,7 +76,7 @@ def mixed(docs: DataFrame, weights: Mapping[str, float], source_col: str = "sour
         firsts[s], so_far = so_far, so_far + n
     known = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(s).cast("string").alias("s"), F.lit(firsts[s]).cast("long").alias("first"), F.lit(sum(p[0] == s for p in plan)).cast("long").alias("share")) for s, _ in counts])))
     slots = spark.createDataFrame([(str(s is None).lower(), s or "", *rest) for s, *rest in plan], "_null string, _source string, _turn long, _slot long, _release long, _deadline long")
-    rows = docs.select(F.struct(*own).alias("_row"), F.col(source_col).alias("_s"), F.xxhash64(F.col(key_col)).alias("_h"), F.col(key_col).alias("_k"))
+    rows = docs.select(F.struct(*own).alias("_row"), F.col(source_col).alias("_s"), F.md5(F.coalesce(F.col(key_col).cast("string"), F.lit(""))).alias("_h"), F.col(key_col).alias("_k"))
     at = numbered(rows, "_s", "_h", "_k", name="_ordinal").join(F.broadcast(known), F.col("_s").eqNullSafe(F.col("s")))
     at = at.withColumn("_rank", F.col("_ordinal") - F.col("first")).withColumn("_block", F.floor(F.col("_rank") / block))
     at = at.withColumns({"_turn": F.col("_block") % F.col("share"), "_cycle": F.floor(F.col("_block") / F.col("share")), "_null": F.col("_s").isNull().cast("string"), "_source": F.coalesce("_s", F.lit(""))})

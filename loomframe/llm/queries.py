@@ -103,6 +103,29 @@ def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs, WEIGHTS).select("doc_id", "source", "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_at")
 
 
+OP5_SQL = """
+WITH RECURSIVE
+w(s, w) AS (VALUES ('src0', 0.10::DOUBLE), ('src1', 0.08::DOUBLE), ('src2', 0.08::DOUBLE), ('src3', 0.06::DOUBLE)),
+k AS (SELECT source AS s, row_number() OVER (ORDER BY source NULLS FIRST) AS i FROM documents GROUP BY source),
+have AS (SELECT k.s, k.i, w.w FROM k LEFT JOIN w ON k.s = w.s),
+want AS (SELECT s, i, coalesce(w, (1 - (SELECT sum(w) FROM have)) / (SELECT count(*) FROM have WHERE w IS NULL)) AS x FROM have),
+e AS (SELECT *, x / (SELECT sum(x) FROM want) * (1000 - (SELECT count(*) FROM want)) AS ex FROM want),
+o AS (SELECT *, 1 + CAST(floor(ex) AS BIGINT) AS q0, row_number() OVER (ORDER BY floor(ex) - ex, s NULLS FIRST) AS r FROM e),
+q AS (SELECT s, i, q0 + CASE WHEN r <= 1000 - (SELECT sum(q0) FROM o) THEN 1 ELSE 0 END AS q FROM o),
+plan(slot, q, done, pick) AS (
+  SELECT CAST(-1 AS BIGINT), list(CAST(q AS BIGINT) ORDER BY i), list(CAST(0 AS BIGINT)), CAST(0 AS BIGINT) FROM q
+  UNION ALL
+  SELECT slot + 1, q, list_transform(done, lambda d, j: d + CASE WHEN j = p THEN 1 ELSE 0 END), p
+  FROM (SELECT *, list_min(list_transform(done, lambda d, j: CASE WHEN d < q[j] AND d * 1000 // q[j] <= slot + 1 THEN ((d + 1) * 1000 + q[j] - 1) // q[j] * 1000 + j ELSE 1000000000 END)) % 1000 AS p FROM plan WHERE slot < 999)),
+slots AS (SELECT slot, pick AS i, done[pick] - 1 AS turn, q[pick] AS q FROM plan WHERE slot >= 0),
+d AS (SELECT doc_id, source, k.i, row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id) - 1 AS rank FROM documents JOIN k ON source IS NOT DISTINCT FROM k.s),
+b AS (SELECT *, rank // 16 AS block FROM d)
+SELECT doc_id, source, block AS mix_block, block // q * 1000 + turn * 1000 // q AS mix_release, block // q * 1000 + ((turn + 1) * 1000 + q - 1) // q AS mix_deadline,
+       block // q * 1000 + slot AS mix_slot, (block // q * 1000 + slot) * 16 + rank % 16 AS mix_at
+FROM b JOIN slots ON slots.i = b.i AND slots.turn = b.block % slots.q
+"""
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -131,4 +154,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_formatting": op9_chat_formatting,
     "op10_token_store": op10_token_store,
 }
-SQL = {"op8_url_filters": OP8_SQL, "op9_chat_formatting": OP9_SQL}
+SQL = {"op5_mixing_sources": OP5_SQL, "op8_url_filters": OP8_SQL, "op9_chat_formatting": OP9_SQL}
