@@ -1 +1 @@
-
+"""Registered plans: operators over the test tables, with the SQL that must give the same rows."""

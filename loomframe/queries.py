@@ -2,16 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from loomframe.plans import scalars, tables  # noqa: F401
+from loomframe.plans.registry import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return rows.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pricing_summary": pricing_summary}
-SQL = {"pricing_summary": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL"}
+__all__ = ["QUERIES", "SQL"]
