@@ -25,6 +25,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,52 +33,90 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomframe.llm.common import remove, written
-from loomframe.llm.ordering import numbered, running_sum
+from loomframe.llm.ordering import running_sum
 
 WINDOW, LEAST, MOST, MASK, FAN = 8, 32, 4096, np.uint32(0xFF), 1024
 CACHED, LONGEST = 400_000, 48
-#: Characters that Python's split takes as white space and the tokenizers' patterns do not.
+#: Words of Latin letters, with punctuation after them; characters that Python's split takes as white space and the tokenizers' patterns do not.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u01bf]+)([.,;:!?]*)")
 APART = re.compile("[\x1c-\x1f]")
 CHUNK = pa.struct([("digest", pa.binary()), ("n", pa.int32()), ("payload", pa.binary())])
 
 
 class WordCache(dict):
-    """Ids of a white-space-free piece, as bytes; filled by the tokenizer, emptied when full."""
+    """Ids of a white-space-free piece, as bytes; what is not met again while CACHED others are, goes."""
 
-    def __init__(self, tokenizer, kind: str):
+    def __init__(self, encode):
         super().__init__()
-        self.tokenizer, self.kind = tokenizer, kind
-
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        self.encode, self.old = encode, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.encode(piece)
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.encode(piece)
         if len(piece) <= LONGEST:
             if len(self) >= CACHED:
+                self.old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
 
 
 class Encoder:
-    """`by_word`: the tokenizer drops white space and never joins across it, so pieces can be encoded one by one."""
+    """`by_word`: the tokenizer drops white space and never joins across it, so pieces can be encoded one by one.
+
+    A piece of Latin letters is then one token of its pre-tokenizer, and goes to
+    the tokenizer's model at once (lower-cased, its bytes spelled as the
+    tokenizer spells them), with punctuation after it apart. The constructor
+    compares both ways on each of those letters, and keeps to the long one
+    unless they agree.
+    """
 
     def __init__(self, path: str, end_id: int, by_word: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         size = max(self.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
         self.kind = "<u2" if size <= 1 << 16 else "<u4"
-        self.words, self.by_word = WordCache(self.tokenizer, self.kind), by_word
-        self.end = np.array([end_id], self.kind).tobytes()
+        self.by_word, self.end = by_word, np.array([end_id], self.kind).tobytes()
+        self.spelled: dict[int, str] = {}
+        self.words = WordCache(self.piece)
+        if by_word:
+            letters = [chr(c) for c in range(0x41, 0x1C0) if PLAIN.fullmatch(chr(c))]
+            tries = [w for c in letters for w in (f"{c}", f"a{c}o", f"{c}e.")]
+            if any(self.piece(w) != self.whole(w) for w in tries):
+                self.words = WordCache(self.whole)
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        found = PLAIN.fullmatch(piece)
+        if not found:
+            return self.whole(piece)
+        if found[2]:
+            return self.words[found[1]] + self.words[found[2]]
+        word = piece.lower()
+        if not word.isascii():
+            for c in set(word):
+                if ord(c) not in self.spelled:
+                    self.spelled[ord(c)] = "".join(x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(c))
+            word = word.translate(self.spelled)
+        return np.array([t.id for t in self.model.tokenize(word)], self.kind).tobytes()
 
     def __call__(self, text: str | None) -> bytes:
         text = text or ""
         if self.by_word and not APART.search(text):
             return b"".join(map(self.words.__getitem__, text.split())) + self.end
-        return self.words.encode(text) + self.end
+        return self.whole(text) + self.end
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, end_id: int, by_word: bool) -> Encoder:
+    """One for each Python worker, whatever tasks it runs."""
+    return Encoder(path, end_id, by_word)
 
 
 def merkle(digests: list[bytes]) -> bytes:
@@ -119,7 +158,7 @@ def encoded(docs: DataFrame, path: str, end_id: int, by_word: bool, id_col: str
     seq = F.col("_seq") if "_seq" in docs.columns else F.lit(None).cast("long")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_ids = Encoder(path, end_id, by_word)
+        to_ids = encoder(path, end_id, by_word)
         width = np.dtype(to_ids.kind).itemsize
         for batch in batches:
             texts = batch.column(2)
@@ -157,7 +196,7 @@ def write_store(docs: DataFrame, out: str, path: str, end_id: int, by_word: bool
     chunks = rows.select(F.inline("chunks")).dropDuplicates(["digest"])
     chunks.write.option("compression", "zstd").parquet(f"{out}/chunks")
     recipes = rows.select("doc_id", "seq", "n_tokens", "root", F.col("chunks.digest").alias("digests"), F.col("chunks.n").alias("lens"))
-    placed = running_sum(numbered(recipes, "seq", "doc_id", "root"), "n_tokens", "ordinal")
+    placed = running_sum(recipes, "n_tokens", "seq", "doc_id", "root")
     placed.drop("seq").repartitionByRange("start").sortWithinPartitions("start").write.option("compression", "zstd").parquet(f"{out}/recipes")
     remove(spark, staged)
     tree(spark.read.parquet(f"{out}/recipes")).write.parquet(f"{out}/manifest")
