@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomframe.plans import scalars, tables  # noqa: F401
+from loomframe.plans import formats, scalars, tables  # noqa: F401
 from loomframe.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

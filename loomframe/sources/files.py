@@ -59,7 +59,7 @@ def write_xml(df: DataFrame, path: str, root: str, row: str) -> None:
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """(value): whole files. Script sources are read so too."""
-    return spark.read.option("wholetext", True).text(path)
+    return spark.read.text(path, wholetext=True)
 
 
 def write_text(df: DataFrame, column: str, path: str) -> None:
