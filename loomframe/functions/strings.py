@@ -121,12 +121,13 @@ def hashed(s: Column, algorithm: str) -> Column:
 
 
 def humps(s: Column, mark: str) -> Column:
-    """A mark before each capital that follows a small letter or digit."""
-    return F.regexp_replace(s, r"(\p{Ll}|\d)(\p{Lu})", f"$1{mark}$2")
+    """A mark before each capital inside that has a small letter before or after it."""
+    return F.regexp_replace(s, r"(?s)(?<=.)(?=\p{Lu})(?:(?<=\p{Ll})|(?=\p{Lu}\p{Ll}))", mark)
 
 
 def capitalize(s: Column) -> Column:
-    words = F.filter(F.split(humps(s, " "), rf"{SPACE}+", -1), lambda w: w != "")
+    """Words parted by white space or a small letter before a capital, each with one capital."""
+    words = F.filter(F.split(F.regexp_replace(s, r"(\p{Ll})(?=\p{Lu})", "$1 "), rf"{SPACE}+", -1), lambda w: w != "")
     return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))), " ")
 
 
@@ -158,8 +159,9 @@ def pluralize(s: Column) -> Column:
 def singularize(s: Column) -> Column:
     cut = lambda n: F.substr(s, F.lit(1), F.length(s) - n)
     return (
-        F.when(s.rlike("(?i)ies$"), F.concat(cut(3), F.lit("y")))
-        .when(s.rlike("(?i)ves$"), F.concat(cut(3), F.lit("f")))
+        F.when(s.rlike("(?i).ies$"), F.concat(cut(3), F.lit("y")))
+        .when(s.rlike("(?i)ives$"), F.concat(cut(3), F.lit("fe")))
+        .when(s.rlike("(?i).ves$"), F.concat(cut(3), F.lit("f")))
         .when(s.rlike("(?i)(ch|sh|s|x|z)es$"), cut(2))
         .when(s.rlike("(?i)[^s]s$"), cut(1))
         .otherwise(s)

@@ -38,16 +38,17 @@ decode_uri_component = decode_uri
 
 
 def query_parameters(query: Column) -> Column:
-    """map<string, array<string>> in order of first appearance."""
+    """map<string, array<string>>, names sorted."""
     pairs = F.transform(F.filter(F.split(F.coalesce(query, F.lit("")), "&", -1), lambda p: p != ""), lambda p: F.struct(F.url_decode(F.substring_index(p, "=", 1)).alias("k"), F.url_decode(F.when(F.contains(p, F.lit("=")), F.regexp_replace(p, "^[^=]*=", "")).otherwise(F.lit(""))).alias("v")))
-    names = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
+    names = F.array_sort(F.array_distinct(F.transform(pairs, lambda p: p["k"])))
     return F.map_from_arrays(names, F.transform(names, lambda n: F.transform(F.filter(pairs, lambda p: p["k"] == n), lambda p: p["v"])))
 
 
 def parse_uri(s: Column) -> Column:
+    """Scheme, host, path and fragment are empty where missing; user, password and port are null."""
     user = part(s, 2)
     return F.when(s.isNotNull(), F.struct(
-        part(s, 1).alias("scheme"), part(s, 3).alias("host"), F.regexp_extract(s, URI, 5).alias("path"), part(s, 7).alias("fragment"), query_parameters(part(s, 6)).alias("query"),
+        F.regexp_extract(s, URI, 1).alias("scheme"), F.regexp_extract(s, URI, 3).alias("host"), decode_uri(F.regexp_extract(s, URI, 5)).alias("path"), decode_uri(F.regexp_extract(s, URI, 7)).alias("fragment"), query_parameters(part(s, 6)).alias("query"),
         F.substring_index(user, ":", 1).alias("user"), F.when(F.contains(user, F.lit(":")), F.regexp_replace(user, "^[^:]*:", "")).alias("password"), part(s, 4).cast("int").alias("port"),
     ))
 
@@ -59,6 +60,6 @@ def compose(p: Column) -> Column:
     query = F.array_join(F.flatten(F.transform(keys, lambda k: F.transform(p["query"][k], lambda v: F.concat(form(k), F.lit("="), form(v))))), "&")
     login = F.when(p["user"].isNotNull(), F.concat(p["user"], F.coalesce(F.concat(F.lit(":"), p["password"]), F.lit("")), F.lit("@"))).otherwise("")
     return F.concat(
-        F.coalesce(F.concat(p["scheme"], F.lit("://")), F.lit("")), login, F.coalesce(p["host"], F.lit("")), F.coalesce(F.concat(F.lit(":"), p["port"].cast("string")), F.lit("")),
-        F.coalesce(p["path"], F.lit("")), F.when(F.length(query) > 0, F.concat(F.lit("?"), query)).otherwise(""), F.coalesce(F.concat(F.lit("#"), p["fragment"]), F.lit("")),
+        F.when(p["scheme"] != "", F.concat(p["scheme"], F.lit("://"))).otherwise(""), login, F.coalesce(p["host"], F.lit("")), F.coalesce(F.concat(F.lit(":"), p["port"].cast("string")), F.lit("")),
+        F.coalesce(p["path"], F.lit("")), F.when(F.length(query) > 0, F.concat(F.lit("?"), query)).otherwise(""), F.when(p["fragment"] != "", F.concat(F.lit("#"), p["fragment"])).otherwise(""),
     )

@@ -70,7 +70,7 @@ def strings_words(t):
     return t("nation").select("n_nationkey", S.ordinalize(F.col("n_nationkey")).alias("nth"), S.camelize(w).alias("camel"), S.dasherize(S.camelize(w)).alias("dash"), S.underscore(S.camelize(w)).alias("under"), S.capitalize(S.camelize(w)).alias("cap"), S.interpolate("Hello ", F.col("n_name"), " of ", F.lit(None)).alias("said"))
 
 
-@plan("SELECT * FROM (VALUES ('city', 'cities', 'city'), ('box', 'boxes', 'box'), ('knife', 'knives', 'knif'), ('leaf', 'leaves', 'leaf'), ('day', 'days', 'day'), ('bus', 'buses', 'bus')) v(word, many, one)")
+@plan("SELECT * FROM (VALUES ('city', 'cities', 'city'), ('box', 'boxes', 'box'), ('knife', 'knives', 'knife'), ('leaf', 'leaves', 'leaf'), ('day', 'days', 'day'), ('bus', 'buses', 'bus')) v(word, many, one)")
 def strings_plurals(t):
     one = t("region").limit(1).select(F.explode(F.array(*[F.lit(w) for w in ("city", "box", "knife", "leaf", "day", "bus")])).alias("word"))
     return one.select("word", S.pluralize(F.col("word")).alias("many"), S.singularize(S.pluralize(F.col("word"))).alias("one"))
@@ -222,7 +222,7 @@ def dates_make(t):
     return t("nation").select("n_nationkey", D.date(F.lit(2023), k + 1, F.lit(30)).alias("d"), D.local_date_time(*at).alias("l"), D.date_time(*at, "-05:00").alias("z"), D.local_time(k % 24, F.lit(0), F.lit(0)).alias("lt"), D.time(k % 24, F.lit(0), F.lit(0)).alias("tt"))
 
 
-@plan(r"""SELECT page_id, regexp_extract(url, '^([a-z]+):', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, nullif(regexp_extract(url, '\?([^#]*)', 1), '') AS query, nullif(regexp_extract(url, '#(.*)$', 1), '') AS fragment, url AS again, url AS decoded FROM pages""")
+@plan(r"""SELECT page_id, regexp_extract(url, '^([a-z]+):', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, nullif(list_aggregate(list_sort(string_split(regexp_extract(url, '\?([^#]*)', 1), '&')), 'string_agg', '&'), '') AS query, regexp_extract(url, '#(.*)$', 1) AS fragment, url AS again, url AS decoded FROM pages""")
 def urls_parse(t):
     p = U.parse_uri(F.col("url"))
     query = text(F.flatten(F.transform(F.map_entries(p["query"]), lambda e: F.transform(e["value"], lambda v: F.concat(e["key"], F.lit("="), v)))), "&")

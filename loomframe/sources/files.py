@@ -89,7 +89,7 @@ def xml_column(s: Column, schema: str) -> Column:
 
 
 def form_column(s: Column) -> Column:
-    """URL-encoded form text as map<string, array<string>>, repeats gathered, names by first appearance."""
+    """URL-encoded form text as map<string, array<string>>, repeats gathered, names sorted."""
     from loomframe.functions.urls import query_parameters
 
     plus = F.replace(s, F.lit("+"), F.lit("%20"))

@@ -26,10 +26,10 @@ CASES = [
     (lambda: S.substring(F.lit("héllo"), 1, 3), "él"), (lambda: S.char_code_at(F.lit("€"), 0), 8364), (lambda: S.from_char_code(F.lit(128512)), "😀"), (lambda: S.last_index_of(F.lit("abcabc"), "bc"), 4), (lambda: S.last_index_of(F.lit("abc"), "x"), -1),
     (lambda: S.left_pad(F.lit("abcdef"), 3, "x"), "abcdef"), (lambda: S.starts_with(null(), "a"), False), (lambda: S.find(F.lit("aaaa"), "aa"), [0, 1, 2]), (lambda: S.find_regex(F.lit("concat cat"), r"\bcat")["start"][0], 7),
     (lambda: S.match(F.lit("ab12"), r"([a-z]+)(\d+)"), ["ab12", "ab", "12"]), (lambda: S.match(F.lit("xab12!"), r"([a-z]+)(\d+)"), []), (lambda: S.scan(F.lit("a1b2"), r"([a-z])(\d)"), [["a1", "a", "1"], ["b2", "b", "2"]]),
-    (lambda: S.is_blank(F.lit(" \t")), True), (lambda: S.to_text(F.lit(3.0)), "3"), (lambda: S.to_text(null()), "null"), (lambda: S.join(F.array(F.lit("a"), null()), "-"), "a-null"), (lambda: S.capitalize(F.lit("customerFirst  name")), "Customer First Name"),
+    (lambda: S.is_blank(F.lit(" \t")), True), (lambda: S.to_text(F.lit(3.0)), "3"), (lambda: S.to_text(null()), "null"), (lambda: S.join(F.array(F.lit("a"), null()), "-"), "a-null"), (lambda: S.capitalize(F.lit("customerFirst  name")), "Customer First Name"), (lambda: S.dasherize(F.lit("parseHTMLDoc")), "parse-html-doc"), (lambda: S.underscore(F.lit("aB2C")), "a_b2c"), (lambda: S.singularize(F.lit("glass")), "glass"), (lambda: S.singularize(F.lit("wives")), "wife"),
     (lambda: N.to_radix(F.lit(-255), 16), "-FF"), (lambda: N.from_radix(F.lit("-ff"), 16), -255), (lambda: N.round(F.lit(-2.5)), -3), (lambda: N.mod(F.lit(-7), F.lit(3)), -1), (lambda: N.range_of(F.lit(0)), []), (lambda: N.to_range(F.lit(3), F.lit(1)), [3, 2, 1]), (lambda: N.ceil(F.lit(None).cast("double")), 0),
     (lambda: D.date(F.lit(2023), F.lit(2), F.lit(30)), "2023-03-02"), (lambda: D.at_beginning_of_week(F.lit("2024-02-29T10:11:12-03:00")), "2024-02-25T00:00:00-03:00"), (lambda: D.days_between(F.lit("2024-03-01T12:00:00Z"), F.lit("2024-02-28T00:00:00Z")), 3), (lambda: D.day_of_week(F.lit("2024-03-03T00:00:00Z")), 7), (lambda: D.is_leap_year(F.lit(1900)), False),
-    (lambda: U.parse_uri(F.lit("https://u:p@h.com:81/a/b?x=1&x=2&y=%20#f"))["query"]["x"], ["1", "2"]), (lambda: U.parse_uri(F.lit("https://u:p@h.com:81/a/b?x=1#f"))["password"], "p"), (lambda: U.parse_uri(F.lit("mailto:a"))["port"], None), (lambda: U.compose(U.parse_uri(F.lit("https://u:p@h.com:81/a?x=1#f"))), "https://u:p@h.com:81/a?x=1#f"),
+    (lambda: U.parse_uri(F.lit("https://u:p@h.com:81/a/b?x=1&x=2&y=%20#f"))["query"]["x"], ["1", "2"]), (lambda: U.parse_uri(F.lit("https://u:p@h.com:81/a/b?x=1#f"))["password"], "p"), (lambda: U.parse_uri(F.lit("mailto:a"))["port"], None), (lambda: U.parse_uri(F.lit("/a%20b"))["scheme"], ""), (lambda: U.parse_uri(F.lit("/a%20b"))["path"], "/a b"), (lambda: U.compose(U.parse_uri(F.lit("https://u:p@h.com:81/a?x=1#f"))), "https://u:p@h.com:81/a?x=1#f"),
     (lambda: U.encode_uri(F.lit("a b/é?x=1")), "a%20b/%C3%A9?x=1"), (lambda: U.encode_uri_component(F.lit("a b/é&")), "a%20b%2F%C3%A9&"), (lambda: U.decode_uri(F.lit("a+b%20c")), "a+b c"),
     (lambda: A.slice(L(1, 2, 3, 4), -3, -1), [2, 3]), (lambda: A.slice(L(1, 2), 5, 9), []), (lambda: A.range_index(L(1, 2, 3, 4), 1, 2), [2, 3]), (lambda: A.range_index(L(1, 2, 3, 4), -1, 1), [4, 3, 2]), (lambda: A.range_index(L(1, 2), 0, 5), None),
     (lambda: A.reduce(L(1, 2, 3), lambda x, acc: x - acc), 2), (lambda: A.reduce(L(), lambda x, acc: x + acc), None), (lambda: A.some(F.lit(None).cast("array<int>"), lambda x: x > 0), False), (lambda: A.every(L(), lambda x: x > 0), True), (lambda: A.every(F.lit(None).cast("array<int>"), lambda x: x > 0), True),
@@ -72,3 +72,14 @@ def test_deep_update_metadata(spark):
     assert d.select(O.deep(d, "o", "x").alias("v")).first().v == ["1", "7", "8"]
     assert d.select(O.deep(d, "o", "zz").alias("v")).first().v is None
     assert d.select(O.metadata(d, "o", "class").alias("v")).first().v == "Object"
+
+
+def test_runtime(spark, monkeypatch):
+    from loomframe.functions import runtime
+
+    monkeypatch.setenv("LOOM_X", "1")
+    row = spark.range(1).select(runtime.env_var("LOOM_X").alias("a"), runtime.env_vars()["LOOM_X"].alias("b"), runtime.compatibility_flag("strictTypeChecking").alias("c"), runtime.compatibility_flag("x").alias("d")).first()
+    assert tuple(row) == ("1", "1", False, None)
+    df, seen = runtime.logged(spark.range(5), n=F.count("*"))
+    df.collect()
+    assert seen.get == {"n": 5}
