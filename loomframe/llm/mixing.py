@@ -6,7 +6,7 @@ share q is released at slot floor(j cycle / q) and due by slot
 ceil((j + 1) cycle / q). Earliest deadline first among released blocks fills
 each slot with one block and keeps every source within one block of its target
 at every slot; as shares add up to the cycle, the schedule repeats. So one
-cycle's slots (a table of `cycle` rows at most, whatever the data) are made in
+cycle's slots (a table that grows with the sources, not with the documents) are made in
 advance, and every document finds its slot by a join on (source, block number
 in the cycle). When a source has no more blocks, its slots stay empty and the
 others keep their proportions: no document is dropped or repeated.
@@ -20,6 +20,7 @@ an empty result.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
@@ -62,25 +63,26 @@ def schedule(share: Mapping[str | None, int]) -> list[tuple[str | None, int, int
 def mixed(docs: DataFrame, weights: Mapping[str, float], source_col: str = "source", key_col: str = "doc_id", block: int = BLOCK, cycle: int = CYCLE) -> DataFrame:
     """`docs` with mix_block, mix_release, mix_deadline, mix_slot and mix_at; rows by mix_at are the mixture.
 
-    Slots count on over the cycles. Number of sources: `cycle` at most, and the
-    one count of each is all that reaches the driver.
+    Slots count on over the cycles. One count for each source reaches the driver,
+    and the cycle grows to two slots a source where there are more of them.
     """
     spark = docs.sparkSession
     counts = sorted(((r.s, r.n) for r in docs.groupBy(F.col(source_col).alias("s")).agg(F.count("*").alias("n")).collect()), key=lambda x: (x[0] is not None, x[0] or ""))
     own = docs.columns
     if not counts:
         return docs.select(*own, *[F.lit(0).cast("long").alias(c) for c in ("mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_at")])
-    plan = schedule(shares([s for s, _ in counts], weights, cycle))
+    plan = schedule(shares([s for s, _ in counts], weights, max(cycle, 2 * len(counts))))
     firsts, so_far = {}, 0
     for s, n in counts:
         firsts[s], so_far = so_far, so_far + n
-    known = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(s).cast("string").alias("s"), F.lit(firsts[s]).cast("long").alias("first"), F.lit(sum(p[0] == s for p in plan)).cast("long").alias("share")) for s, _ in counts])))
+    own_slots = Counter(p[0] for p in plan)
+    known = spark.createDataFrame([(s, firsts[s], own_slots[s]) for s, _ in counts], "s string, first long, share long")
     slots = spark.createDataFrame([(str(s is None).lower(), s or "", *rest) for s, *rest in plan], "_null string, _source string, _turn long, _slot long, _release long, _deadline long")
     rows = docs.select(F.struct(*own).alias("_row"), F.col(source_col).alias("_s"), F.md5(F.coalesce(F.col(key_col).cast("string"), F.lit(""))).alias("_h"), F.col(key_col).alias("_k"))
     at = numbered(rows, "_s", "_h", "_k", name="_ordinal").join(F.broadcast(known), F.col("_s").eqNullSafe(F.col("s")))
     at = at.withColumn("_rank", F.col("_ordinal") - F.col("first")).withColumn("_block", F.floor(F.col("_rank") / block))
     at = at.withColumns({"_turn": F.col("_block") % F.col("share"), "_cycle": F.floor(F.col("_block") / F.col("share")), "_null": F.col("_s").isNull().cast("string"), "_source": F.coalesce("_s", F.lit(""))})
     met = at.join(F.broadcast(slots), ["_null", "_source", "_turn"])
-    start = F.col("_cycle") * sum(1 for _ in plan)
+    start = F.col("_cycle") * len(plan)
     slot = start + F.col("_slot")
     return met.select(*[F.col(f"_row.`{c}`").alias(c) for c in own], F.col("_block").alias("mix_block"), (start + F.col("_release")).alias("mix_release"), (start + F.col("_deadline")).alias("mix_deadline"), slot.alias("mix_slot"), (slot * block + F.col("_rank") % block).alias("mix_at"))
