@@ -37,7 +37,7 @@ def test_fingerprints():
         assert simhash.fingerprint(t) == plain_fingerprint(t)
 
 
-@pytest.mark.parametrize("radius,dense", [(2, 64), (2, 1), (1, 64), (1, 1), (0, 64)])
+@pytest.mark.parametrize("radius,dense", [(2, 64), (2, 1), (1, 64), (1, 1), (0, 64), (4, 64), (4, 1)])
 def test_links_match_brute_force(spark, radius, dense):
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(40)]
@@ -45,7 +45,7 @@ def test_links_match_brute_force(spark, radius, dense):
     for b in base[:12]:
         for _ in range(25):
             x = b
-            for _ in range(rng.randint(1, 4)):
+            for _ in range(rng.randint(1, 6)):
                 x ^= 1 << rng.randrange(64)
             fps.add(x)
     fps = sorted(fps)
