@@ -8,8 +8,9 @@
    that share a key with a different segment are cut out of their texts, one
    copy of each, and go to shards by key.
 4. Each shard builds its index and reports the windows that lie in two segments.
-   Keys with more than `dense` different segments would load one shard: their
-   segments are cut to single windows instead, which meet by a 128-bit hash.
+   A key with over `LARGE` different segments is a shard of its own. One with
+   more than `dense` would be too large for that: its segments are cut to single
+   windows instead, which meet by a 128-bit hash.
 5. The windows' places come together by text, and a last pass over the written
    texts removes what they cover.
 
@@ -35,7 +36,7 @@ from loomframe.llm.common import new_path, remove
 
 #: (payloads, whether each is the only copy) -> (payload, window) pairs that repeat; of `only` ones.
 Shard = Callable[[list[bytes], np.ndarray], tuple[np.ndarray, np.ndarray]]
-LEAST_COPIES = 2
+LEAST_COPIES, LARGE = 2, 256
 
 
 @dataclass(frozen=True)
@@ -153,41 +154,49 @@ def cut_out(asked: DataFrame, alphabet: Alphabet) -> DataFrame:
                     stop = first + count + alphabet.window - 1
                     if not w["dense"]:
                         payload = b" ".join(data[a:b] for a, b in zip(starts[first:stop].tolist(), ends[first:stop].tolist(), strict=True)) if alphabet.by_word else data[first:stop]
-                        rows.append((w["key"], w["n"], w["tid"], first, 0, 0, payload))
+                        rows.append((w["key"], w["n"], w["tid"], first, 0, 0, w["own"], payload))
                     else:
                         at, part = np.arange(count), symbols[first:stop]
                         h1 = sg.range_hash(sg.sums(part), at, at + alphabet.window).view(np.int64)
                         h2 = sg.range_hash(sg.sums(part, sg.UP2), at, at + alphabet.window, sg.DOWN2).view(np.int64)
-                        rows += [(w["key"], w["n"], w["tid"], first + i, int(a), int(b), None) for i, a, b in zip(range(count), h1, h2, strict=True)]
-                kinds = [pa.int64()] * 6 + [pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["key", "n", "tid", "first", "h1", "h2", "payload"])
+                        rows += [(w["key"], w["n"], w["tid"], first + i, int(a), int(b), w["own"], None) for i, a, b in zip(range(count), h1, h2, strict=True)]
+                kinds = [pa.int64()] * 7 + [pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["key", "n", "tid", "first", "h1", "h2", "own", "payload"])
 
-    return asked.mapInArrow(cut, "key long, n long, tid long, first long, h1 long, h2 long, payload binary")
+    return asked.mapInArrow(cut, "key long, n long, tid long, first long, h1 long, h2 long, own long, payload binary")
 
 
-def spans(corpus: Corpus, alphabet: Alphabet, shard: Shard, shard_bytes: int = 1 << 20, dense: int = 256) -> DataFrame:
-    """(tid, first, count): runs of repeated windows."""
+def spans(corpus: Corpus, alphabet: Alphabet, shard: Shard, shard_bytes: int = 1 << 20, dense: int = 4096) -> DataFrame:
+    """(tid, first, count): runs of repeated windows.
+
+    What a join takes from an aggregate is written first: a join that reads
+    shuffled rows on both sides can be split where one key has many.
+    """
     rows = corpus.keep(segment_rows(corpus.texts, alphabet), "segments")
-    often = rows.groupBy("key").agg(F.sum(F.expr(WEIGHT)).alias("n")).filter(F.col("n") >= LEAST_COPIES).select("key")
+    often = corpus.keep(rows.groupBy("key").agg(F.sum(F.expr(WEIGHT)).alias("n")).filter(F.col("n") >= LEAST_COPIES).select("key"), "often")
     met = corpus.keep(rows.join(often, "key"), "met")
     kinds = corpus.keep(met.groupBy("key", "content").agg(F.sum(F.expr(WEIGHT)).alias("n"), F.min(F.struct("tid", "at")).alias("one")), "kinds")
-    keys = kinds.groupBy("key").agg(F.count("*").alias("kinds"))
+    shared = corpus.keep(kinds.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "shared")
     whole = met.join(kinds.filter(F.col("n") >= LEAST_COPIES).select("key", "content"), ["key", "content"]).select("tid", F.expr(FIRST).alias("first"), F.expr(COUNT).alias("count"))
-    open_ = kinds.join(keys.filter("kinds > 1"), "key").select("key", "n", F.col("one.tid").alias("tid"), F.col("one.at").alias("at"), (F.col("kinds") > dense).alias("dense"))
+    open_ = kinds.join(shared, "key").select("key", "n", F.col("one.tid").alias("tid"), F.col("one.at").alias("at"), F.when(F.col("kinds") > LARGE, F.col("key")).alias("own"), (F.col("kinds") > dense).alias("dense"))
     names = corpus.texts.select("tid", F.col("digest"))
-    asked = open_.join(names, "tid").groupBy("digest").agg(F.collect_list(F.struct("key", "n", "tid", "at", "dense")).alias("wanted"))
+    asked = open_.join(names, "tid").groupBy("digest").agg(F.collect_list(F.struct("key", "n", "tid", "at", "own", "dense")).alias("wanted"))
     pieces = corpus.keep(cut_out(corpus.texts.join(asked, "digest").select(F.encode("text", "UTF-8").alias("data"), "wanted"), alphabet), "pieces")
     single = pieces.filter(F.col("payload").isNull())
-    twice = single.groupBy("key", "h1", "h2").agg(F.sum("n").alias("total")).filter(F.col("total") >= LEAST_COPIES).select("key", "h1", "h2")
+    twice = corpus.keep(single.groupBy("key", "h1", "h2").agg(F.sum("n").alias("total")).filter(F.col("total") >= LEAST_COPIES).select("key", "h1", "h2"), "twice")
     hot = single.join(twice, ["key", "h1", "h2"]).select("tid", "first", F.lit(1).cast("long").alias("count"))
     sharded = pieces.filter(F.col("payload").isNotNull())
     size = sharded.select(F.sum(F.length("payload"))).first()[0] or 0
 
     def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
         which, at = shard(pdf["payload"].tolist(), pdf["n"].to_numpy() < LEAST_COPIES)
-        return pd.DataFrame({"tid": pdf["tid"].to_numpy()[which], "first": pdf["first"].to_numpy()[which] + at, "count": np.ones(len(which), np.int64)})
+        order = np.lexsort((at, which))
+        which, at = which[order], at[order]
+        new = np.flatnonzero(np.r_[np.ones(min(1, len(at)), bool), (which[1:] != which[:-1]) | (at[1:] != at[:-1] + 1)])
+        return pd.DataFrame({"tid": pdf["tid"].to_numpy()[which[new]], "first": pdf["first"].to_numpy()[which[new]] + at[new], "count": np.diff(np.append(new, len(at)))})
 
-    cold = sharded.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(-(-size // shard_bytes) or 1))).groupBy("shard").applyInPandas(resolve, "tid long, first long, count long")
+    place_of = F.when(F.col("own").isNull(), F.pmod(F.xxhash64("key"), F.lit(-(-size // shard_bytes) or 1)))
+    cold = sharded.withColumn("shard", place_of).groupBy("own", "shard").applyInPandas(resolve, "tid long, first long, count long")
     return whole.unionByName(hot).unionByName(cold)
 
 

@@ -163,6 +163,14 @@ def flips(bits: list[int], most: int) -> list[int]:
     return [signed(m) for m in out]
 
 
+#: Masks of up to so many of the 64 bits, as one expression each.
+CODES = [
+    "array(0L)",
+    "concat(array(0L), transform(sequence(0, 63), i -> shiftleft(1L, i)))",
+    "concat(array(0L), flatten(transform(sequence(0, 63), i -> transform(sequence(-1, i - 1), j -> shiftleft(1L, i) ^ if(j < 0, 0L, shiftleft(1L, j))))))",
+]
+
+
 def linked(fps: DataFrame, radius: int = 2, dense: int = 64) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column `fp`) whose components are those of all links.
 
@@ -193,7 +201,7 @@ def linked(fps: DataFrame, radius: int = 2, dense: int = 64) -> DataFrame:
     # All fingerprints that probe or lie under a dense signature; a pair it would bring together has both here.
     thick = probed.filter(F.col("c") > dense)
     inside = index.join(thick.select("i", "v").distinct(), ["i", "v"], "left_semi").select("fp").unionByName(thick.select("fp")).distinct()
-    near = F.transform(F.array(*[F.lit(m).cast("long") for m in flips(list(range(BITS)), (radius + 1) // 2)]), lambda m: F.col("fp").bitwiseXOR(m))
+    near = F.transform(F.expr(CODES[(radius + 1) // 2]), lambda m: F.col("fp").bitwiseXOR(m))
     codes = inside.select("fp", F.explode(near).alias("code"))
     if radius == 1:  # one side flipped, the other as it is
         lows = codes.join(inside.select(F.col("fp").alias("code")), "code").select(F.col("fp").alias("a"), F.col("code").alias("b"))

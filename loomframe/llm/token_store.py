@@ -193,12 +193,11 @@ def write_store(docs: DataFrame, out: str, path: str, end_id: int, by_word: bool
     staged = f"{out}/staged"
     encoded(docs, path, end_id, by_word, id_col, text_col).write.option("compression", "zstd").parquet(staged)
     rows = spark.read.parquet(staged)
-    chunks = rows.select(F.inline("chunks")).dropDuplicates(["digest"])
-    chunks.write.option("compression", "zstd").parquet(f"{out}/chunks")
     recipes = rows.select("doc_id", "seq", "n_tokens", "root", F.col("chunks.digest").alias("digests"), F.col("chunks.n").alias("lens"))
     placed = running_sum(recipes, "n_tokens", "seq", "doc_id", "root")
-    placed.drop("seq").repartitionByRange("start").sortWithinPartitions("start").write.option("compression", "zstd").parquet(f"{out}/recipes")
+    rows.select(F.inline("chunks")).dropDuplicates(["digest"]).write.option("compression", "zstd").parquet(f"{out}/chunks")
     remove(spark, staged)
+    placed.drop("seq").repartitionByRange("start").sortWithinPartitions("start").write.option("compression", "zstd").parquet(f"{out}/recipes")
     tree(spark.read.parquet(f"{out}/recipes")).write.parquet(f"{out}/manifest")
 
 

@@ -64,14 +64,19 @@ def test_bytes_match_brute_force(spark, seed):
 
 @pytest.mark.parametrize("by_word", [True, False])
 def test_dense_keys_and_pieces(spark, by_word, monkeypatch):
-    """Keys cut to single windows, and texts longer than a piece, change nothing."""
+    """Keys with shards of their own or cut to single windows, and texts longer than a piece, change nothing."""
     texts = corpus(5, n=80)
     alphabet = Alphabet(by_word, 12 if by_word else 40, 4 if by_word else 16)
     shard = (substring_dedup.shard if by_word else suffix_dedup.shard)(alphabet.window)
     made = repeats.Corpus(spark, spark.createDataFrame([(t,) for t in texts], "text string"))
     whole = lambda **how: sorted(tuple(r) for r in repeats.removed(made, repeats.spans(made, alphabet, shard, **how), alphabet).select("digest", "n_removed").collect())
     first = whole()
-    for what in ("segments", "met", "kinds", "pieces"):
+    folders = ("segments", "often", "met", "kinds", "shared", "pieces", "twice")
+    for what in folders:
+        repeats.remove(spark, f"{made.folder}/{what}")
+    monkeypatch.setattr(repeats, "LARGE", 1)
+    assert whole() == first
+    for what in folders:
         repeats.remove(spark, f"{made.folder}/{what}")
     assert whole(dense=1) == first
     made.drop()
