@@ -14,7 +14,7 @@ partitions' measured collisions (fixed-size statistics of all fingerprints).
 Fingerprints are indexed under their value in each partition, probe all values
 within its threshold, and candidates are verified over all 64 bits.
 
-A signature that more than `dense` fingerprints share is not paired up: its
+A signature that more than `dense` nodes (distinct fingerprints) share is not paired up: its
 fingerprints are linked through the codes within half the radius of each, which
 two fingerprints share exactly if they differ by the radius or less. That is
 exact for an even radius and linear in their number (65 codes each for 2 bits,
@@ -49,6 +49,9 @@ SEED, BITS = 42, 64
 #: Shingle, distinct and radius for near copies. On five-word shingles 64 bits put a pair of similarity 0.8 some 10 to 15
 #: bits apart, where no partition of 64 bits prunes; on distinct words nine in ten such pairs are within 4 bits.
 WORDS = (1, True, 4)
+#: Shingle, distinct and most differing bits of the fingerprints that verify such a link. At a similarity of 0.8 on five-word
+#: shingles 9.7 of 64 bits differ on average (standard deviation 2.9): 16 keep 98 of 100 such pairs; below 0.4, hardly any.
+GUARD = (5, True, 16)
 
 
 def fingerprint(text: str | None, shingle: int = 3, distinct: bool = False) -> int:
@@ -171,52 +174,71 @@ CODES = [
 ]
 
 
-def linked(fps: DataFrame, radius: int = 2, dense: int = 64) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints (column `fp`) whose components are those of all links.
+def linked(nodes: DataFrame, radius: int = 2, dense: int = 64, apart: int | None = None) -> DataFrame:
+    """Edges (a, b) between distinct nodes (node, fp and, with `apart`, guard) whose components are those of all links.
 
-    Every pair that some probed signature shared by at most `dense` fingerprints
+    Every pair that some probed signature shared by at most `dense` nodes
     brings together is verified and emitted; the others link through codes
-    (smallest fingerprint of each code).
+    (smallest node of each code). With `apart`, linked nodes must also differ
+    in at most so many bits of `guard`; a code then links to its smallest and
+    its largest node.
     """
     if radius not in (0, 1, 2, 4):
         raise ValueError("dense signatures are exact for a radius of 0, 1, 2 or 4")
-    distinct = fps.select("fp")
-    n, both = statistics(distinct)
+    own = ["node", "fp"] if apart is None else ["node", "fp", "guard"]
+    distinct = nodes.select(*own)
+    n, both = statistics(distinct.select("fp"))
     plans = []
     for parts in (2, 3, 4):
         groups = partitions(n, both, parts)
         plans.append((*thresholds(distinct, n, both, groups, radius), groups))
     _, chosen, groups = min(plans, key=lambda x: x[0])
     used = [(i, g, t) for i, (g, t) in enumerate(zip(groups, chosen, strict=True)) if t >= 0]
-    own = F.array(*[F.struct(F.lit(i).alias("i"), value(F.col("fp"), g).alias("v")) for i, g, _ in used])
-    index = distinct.select("fp", F.inline(own))
+    values = F.array(*[F.struct(F.lit(i).alias("i"), value(F.col("fp"), g).alias("v")) for i, g, _ in used])
+    index = distinct.select(*own, F.inline(values))
+
     def tried(g: list[int], t: int, i: int) -> Column:
         masks = F.array(*[F.lit(m).cast("long") for m in flips(g, t)])
         return F.transform(masks, lambda m: F.struct(F.lit(i).alias("i"), value(F.col("fp"), g).bitwiseXOR(m).alias("v"), (m == 0).alias("own")))
-    probe = distinct.select("fp", F.inline(F.flatten(F.array(*[tried(g, t, i) for i, g, t in used]))))
+
+    def near(a: str, b: str, most: int) -> Column:
+        return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= most
+
+    probe = distinct.select(*own, F.inline(F.flatten(F.array(*[tried(g, t, i) for i, g, t in used]))))
     sizes = index.groupBy("i", "v").agg(F.count("*").alias("c"))
-    probed = written(probe.join(sizes, ["i", "v"]).filter(~F.col("own") | (F.col("c") > 1)), "probes")
-    thin = probed.filter(F.col("c") <= dense).select("i", "v", F.col("fp").alias("a"))
-    pairs = thin.join(index.withColumnRenamed("fp", "b"), ["i", "v"]).filter((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
-    # All fingerprints that probe or lie under a dense signature; a pair it would bring together has both here.
+    probed = written(probe.join(sizes, ["i", "v"]).filter(~F.col("own") | (F.col("c") > 1)).drop("own"), "probes")
+    thin = probed.filter(F.col("c") <= dense).drop("c")
+    pairs = thin.join(index.withColumnsRenamed({c: f"{c}_b" for c in own}), ["i", "v"]).filter((F.col("node") != F.col("node_b")) & near("fp", "fp_b", radius))
+    if apart is not None:
+        pairs = pairs.filter(near("guard", "guard_b", apart))
+    pairs = pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b"))
+    # All nodes that probe or lie under a dense signature; a pair it would bring together has both here.
     thick = probed.filter(F.col("c") > dense)
-    inside = index.join(thick.select("i", "v").distinct(), ["i", "v"], "left_semi").select("fp").unionByName(thick.select("fp")).distinct()
-    near = F.transform(F.expr(CODES[(radius + 1) // 2]), lambda m: F.col("fp").bitwiseXOR(m))
-    codes = inside.select("fp", F.explode(near).alias("code"))
+    inside = index.join(thick.select("i", "v").distinct(), ["i", "v"], "left_semi").select("node", "fp").unionByName(thick.select("node", "fp")).distinct()
     if radius == 1:  # one side flipped, the other as it is
-        lows = codes.join(inside.select(F.col("fp").alias("code")), "code").select(F.col("fp").alias("a"), F.col("code").alias("b"))
-        return pairs.select("a", "b").unionByName(lows.filter(F.col("a") != F.col("b")))
-    lows = codes.groupBy("code").agg(F.min("fp").alias("b"), F.count("*").alias("c")).filter(F.col("c") > 1)
-    return pairs.select("a", "b").unionByName(codes.join(lows, "code").filter(F.col("fp") != F.col("b")).select(F.col("fp").alias("a"), "b"))
-
-
-def grouped(rows: DataFrame, id_col: str, radius: int = 2) -> DataFrame:
-    """(fp, low, component_id): each distinct fingerprint with its own smallest id and its component's."""
-    distinct = written(rows.groupBy("fp").agg(F.min(id_col).alias("low")), "distinct")
-    groups = components(linked(distinct, radius))
-    named = distinct.join(groups, distinct.fp == groups.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
+        codes = inside.select("node", F.explode(F.transform(F.expr(CODES[1]), lambda m: F.col("fp").bitwiseXOR(m))).alias("code"))
+        stars = codes.join(inside.select(F.col("node").alias("b"), F.col("fp").alias("code")), "code")
+    else:
+        codes = inside.select("node", F.explode(F.transform(F.expr(CODES[radius // 2]), lambda m: F.col("fp").bitwiseXOR(m))).alias("code"))
+        ends = [F.min("node")] if apart is None else [F.min("node"), F.max("node")]
+        lows = codes.groupBy("code").agg(F.array_distinct(F.array(*ends)).alias("ends"), F.count("*").alias("c")).filter(F.col("c") > 1).select("code", F.explode("ends").alias("b"))
+        stars = codes.join(lows, "code")
+    stars = stars.filter(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b")
+    if apart is not None:
+        guards = distinct.select("node", "guard")
+        stars = stars.distinct().join(guards.toDF("a", "guard"), "a").join(guards.toDF("b", "guard_b"), "b").filter(near("guard", "guard_b", apart)).select("a", "b")
+    return pairs.unionByName(stars)
+
+
+def grouped(rows: DataFrame, id_col: str, radius: int = 2, apart: int | None = None) -> DataFrame:
+    """(fp, low, component, component_id; with `apart`, guard): each distinct fingerprint with its own smallest id and its component's."""
+    key = ["fp"] if apart is None else ["fp", "guard"]
+    node = F.col("fp") if apart is None else F.monotonically_increasing_id()
+    distinct = written(rows.groupBy(*key).agg(F.min(id_col).alias("low")).withColumn("node", node), "distinct")
+    groups = components(linked(distinct, radius, apart=apart))
+    named = distinct.join(groups, "node", "left").select(*key, "low", F.coalesce("component", "node").alias("component"))
     lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    return written(named.join(lows, "component").select("fp", "low", "component", "component_id"), "components")
+    return written(named.join(lows, "component").select(*key, "low", "component", "component_id"), "components")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distinct: bool = False, radius: int = 2) -> DataFrame:
@@ -229,16 +251,22 @@ def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS[0], distinct: bool = WORDS[1], radius: int = WORDS[2]) -> DataFrame:
-    """`docs` with one document of each component: that with the smallest id, or, of equal ids, the smallest fingerprint."""
-    own = docs.columns
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS[0], distinct: bool = WORDS[1], radius: int = WORDS[2], apart: int = GUARD[2]) -> DataFrame:
+    """`docs` with one document of each component: that with the smallest id, or, of equal ids, the smallest fingerprint.
 
-    @F.pandas_udf("long")
-    def print_of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, shingle, distinct) for t in texts], np.uint64).view(np.int64))
+    Links are probed on fingerprints of the words and verified on those of the
+    five-word shingles as well (GUARD).
+    """
+    own = docs.columns
 
-    rows = written(docs.select(F.struct(*own).alias("row"), F.col(id_col).alias("id"), print_of(text_col).alias("fp")), "fingerprinted")
-    found = grouped(rows.select("id", "fp"), "id", radius)
-    kept = found.groupBy("component").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "fp")).alias("k")).select(F.col("k.fp").alias("fp"), F.coalesce("k.low", F.lit(0)).alias("at"), F.col("k.low").isNull().alias("none"))
-    keyed = rows.select("row", "fp", F.coalesce("id", F.lit(0)).alias("at"), F.col("id").isNull().alias("none"))
-    return keyed.join(kept, ["fp", "at", "none"]).dropDuplicates(["fp", "at", "none"]).select("row.*")
+    @F.pandas_udf("fp long, guard long")
+    def prints_of(texts: pd.Series) -> pd.DataFrame:
+        both = np.array([(fingerprint(t, shingle, distinct), fingerprint(t, *GUARD[:2])) for t in texts], np.uint64).reshape(-1, 2)
+        return pd.DataFrame(both.view(np.int64), columns=["fp", "guard"])
+
+    rows = written(docs.select(F.struct(*own).alias("row"), F.col(id_col).alias("id"), prints_of(text_col).alias("p")).select("row", "id", "p.fp", "p.guard"), "fingerprinted")
+    found = grouped(rows.select("id", "fp", "guard"), "id", radius, apart)
+    kept = found.groupBy("component").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "fp", "guard")).alias("k")).select(F.col("k.fp").alias("fp"), F.col("k.guard").alias("guard"), F.coalesce("k.low", F.lit(0)).alias("at"), F.col("k.low").isNull().alias("none"))
+    keyed = rows.select("row", "fp", "guard", F.coalesce("id", F.lit(0)).alias("at"), F.col("id").isNull().alias("none"))
+    keys = ["fp", "guard", "at", "none"]
+    return keyed.join(kept, keys).dropDuplicates(keys).select("row.*")

@@ -23,12 +23,12 @@ def frame(spark, rows, schema):
 
 # --- SimHash
 
-def plain_fingerprint(text):
+def plain_fingerprint(text, shingle=3, distinct=False):
     parts = bytes((text or ""), "utf-8").lower().split()
     if not parts:
         return 0
-    grams = [b" ".join(parts[i : i + 3]) for i in range(max(1, len(parts) - 2))]
-    h = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    grams = [b" ".join(parts[i : i + shingle]) for i in range(max(1, len(parts) - shingle + 1))]
+    h = [xxhash.xxh64_intdigest(g, 42) for g in (set(grams) if distinct else grams)]
     return sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
 
 
@@ -60,7 +60,7 @@ def test_links_match_brute_force(spark, radius, dense):
         if (a ^ b).bit_count() <= radius:
             want[root(a)] = root(b)
     signed = lambda f: f - (1 << 64) if f >= 1 << 63 else f
-    df = frame(spark, [(signed(f),) for f in fps], "fp long")
+    df = frame(spark, [(signed(f),) * 2 for f in fps], "node long, fp long")
     from loomframe.llm.components import components
 
     got = {r.node: r.component for r in components(simhash.linked(df, radius, dense)).collect()}
@@ -71,6 +71,16 @@ def test_links_match_brute_force(spark, radius, dense):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
 
 
+def test_guard_verifies_links(spark):
+    """Equal words in another order are no near copy; a text of 200 words with four others in it is one."""
+    words = [f"w{i * 7919 % 1000}" for i in range(200)]
+    changed = [w if i % 50 else "other" + w for i, w in enumerate(words)]
+    docs = frame(spark, [(1, " ".join(words)), (2, " ".join(sorted(words))), (3, " ".join(changed)), (4, " ".join(words).upper())], "doc_id long, text string")
+    assert simhash.fingerprint(docs.first().text, 1, True) == simhash.fingerprint(" ".join(sorted(words)), 1, True)
+    near = (simhash.fingerprint(" ".join(words), 1, True) ^ simhash.fingerprint(" ".join(changed), 1, True)).bit_count() <= simhash.WORDS[2]
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == ([1, 2] if near else [1, 2, 3])
+
+
 def test_near_duplicates_edges(spark):
     docs = frame(spark, [(3, "a b c d"), (1, "A b c d"), (1, "A b c d"), (None, None), (7, ""), (9, "other words here now")], "doc_id long, text string").withColumn("fp", F.lit("clash"))
     got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()}

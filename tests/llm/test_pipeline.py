@@ -7,7 +7,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
-from loomframe.llm import decontaminate, language_id, mixing, queries
+from loomframe.llm import decontaminate, language_id, mixing, queries, simhash
 from tests.llm.test_operators import plain_fingerprint
 
 SF = "/root/testdata/sf0.001"
@@ -18,14 +18,15 @@ def test_pipeline_matches_a_plain_version(spark):
     docs = {r.doc_id: r for r in frame.collect()}
     model = language_id.fit(language_id.learning_rows(frame))
     kept = [d for d in sorted(docs) if (lambda lang, score: lang != "und" and score >= P.LEAST_SCORE)(*model.predict(docs[d].text))]
-    prints = {d: plain_fingerprint(docs[d].text) for d in kept}
+    (shingle, distinct, radius), (guard, guard_distinct, apart) = simhash.WORDS, simhash.GUARD
+    prints = {d: (plain_fingerprint(docs[d].text, shingle, distinct), plain_fingerprint(docs[d].text, guard, guard_distinct)) for d in kept}
     group = {d: d for d in kept}
     changed = True
     while changed:
         changed = False
         for a in kept:
             for b in kept:
-                if (prints[a] ^ prints[b]).bit_count() <= 2 and group[a] != group[b]:
+                if (prints[a][0] ^ prints[b][0]).bit_count() <= radius and (prints[a][1] ^ prints[b][1]).bit_count() <= apart and group[a] != group[b]:
                     group[a] = group[b] = min(group[a], group[b])
                     changed = True
     kept = [d for d in kept if group[d] == d]
