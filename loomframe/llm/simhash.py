@@ -31,6 +31,7 @@ no component of their own but may share one; repeated rows are kept.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import comb
 
 import numpy as np
@@ -42,35 +43,51 @@ from pyspark.sql import functions as F
 
 from loomframe.llm.common import written
 from loomframe.llm.components import components
+from loomframe.llm.segments import mix
 
 SEED, BITS = 42, 64
 
 
-#: Shingle, distinct and radius for near copies. On five-word shingles 64 bits put a pair of similarity 0.8 some 10 to 15
-#: bits apart, where no partition of 64 bits prunes; on distinct words nine in ten such pairs are within 4 bits.
-WORDS = (1, True, 4)
+#: Shingle, distinct, radius and number of fingerprints for near copies. On five-word shingles 64 bits put a pair of
+#: similarity 0.8 some 10 bits apart, where no partition of 64 bits prunes; on distinct words such pairs are some 4 apart.
+#: Several fingerprints of the same words, from hashes mixed anew, are probed one after the other, each at two bits.
+WORDS = (1, True, 2, 3)
 #: Shingle, distinct and most differing bits of the fingerprints that verify such a link. At a similarity of 0.8 on five-word
 #: shingles 9.7 of 64 bits differ on average (standard deviation 2.9): 16 keep 98 of 100 such pairs; below 0.4, hardly any.
 GUARD = (5, True, 16)
 
 
-def fingerprint(text: str | None, shingle: int = 3, distinct: bool = False) -> int:
-    """As an unsigned number. A-Z are lower-cased; words are runs without ASCII white space."""
+def hashes(text: str | None, shingle: int = 3, distinct: bool = False) -> np.ndarray:
+    """XXH64 of the word shingles. A-Z are lower-cased; words are runs without ASCII white space."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     whole = b" ".join(parts)
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     ends = np.cumsum(sizes + 1) - 1
     n = max(1, len(parts) - shingle + 1)
     starts, stops = (ends - sizes)[:n].tolist(), ends[-n:].tolist()
     digest, grams = xxhash.xxh64_intdigest, [whole[a:b] for a, b in zip(starts, stops, strict=True)]
-    h = np.array([digest(g, SEED) for g in (set(grams) if distinct else grams)], np.uint64)
-    n = len(h)
+    return np.array([digest(g, SEED) for g in (set(grams) if distinct else grams)], np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """Bit k is 1 if over half of `h` have it set."""
     counts = np.zeros(BITS, np.int64)
-    for lo in range(0, n, 1 << 16):
+    for lo in range(0, len(h), 1 << 16):
         counts += np.unpackbits(h[lo : lo + (1 << 16)].astype(">u8").view(np.uint8)).reshape(-1, BITS).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * counts > len(h)).tobytes(), "big")
+
+
+def fingerprint(text: str | None, shingle: int = 3, distinct: bool = False) -> int:
+    """As an unsigned number; 0 without words."""
+    return majority(hashes(text, shingle, distinct))
+
+
+def several(text: str | None, shingle: int, distinct: bool, tables: int) -> list[int]:
+    """Fingerprints from the hashes themselves and from `tables` - 1 mixtures of them."""
+    h = hashes(text, shingle, distinct)
+    return [majority(h if k == 0 else mix(h + np.uint64(k))) for k in range(tables)]
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 3, distinct: bool = False) -> DataFrame:
@@ -222,7 +239,7 @@ def linked(nodes: DataFrame, radius: int = 2, dense: int = 64, apart: int | None
         codes = inside.select("node", F.explode(F.transform(F.expr(CODES[radius // 2]), lambda m: F.col("fp").bitwiseXOR(m))).alias("code"))
         ends = [F.min("node")] if apart is None else [F.min("node"), F.max("node")]
         lows = codes.groupBy("code").agg(F.array_distinct(F.array(*ends)).alias("ends"), F.count("*").alias("c")).filter(F.col("c") > 1).select("code", F.explode("ends").alias("b"))
-        stars = codes.join(lows, "code")
+        stars = codes.hint("merge").join(lows.hint("merge"), "code")  # rows a node has many of, which Spark's estimates leave out
     stars = stars.filter(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b")
     if apart is not None:
         guards = distinct.select("node", "guard")
@@ -230,12 +247,16 @@ def linked(nodes: DataFrame, radius: int = 2, dense: int = 64, apart: int | None
     return pairs.unionByName(stars)
 
 
-def grouped(rows: DataFrame, id_col: str, radius: int = 2, apart: int | None = None) -> DataFrame:
-    """(fp, low, component, component_id; with `apart`, guard): each distinct fingerprint with its own smallest id and its component's."""
-    key = ["fp"] if apart is None else ["fp", "guard"]
-    node = F.col("fp") if apart is None else F.monotonically_increasing_id()
+def grouped(rows: DataFrame, id_col: str, radius: int = 2, fps: tuple[str, ...] = ("fp",), apart: int | None = None) -> DataFrame:
+    """(fps, low, component, component_id; with `apart`, guard): each distinct row of fingerprints with its own smallest id and its component's.
+
+    Rows link by any of the columns `fps`.
+    """
+    key = [*fps] if apart is None else [*fps, "guard"]
+    node = F.col(key[0]) if len(key) == 1 else F.monotonically_increasing_id()
     distinct = written(rows.groupBy(*key).agg(F.min(id_col).alias("low")).withColumn("node", node), "distinct")
-    groups = components(linked(distinct, radius, apart=apart))
+    edges = [linked(distinct.select("node", F.col(fp).alias("fp"), *key[len(fps) :]), radius, apart=apart) for fp in fps]
+    groups = components(reduce(DataFrame.unionByName, edges))
     named = distinct.join(groups, "node", "left").select(*key, "low", F.coalesce("component", "node").alias("component"))
     lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
     return written(named.join(lows, "component").select(*key, "low", "component", "component_id"), "components")
@@ -251,22 +272,22 @@ def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS[0], distinct: bool = WORDS[1], radius: int = WORDS[2], apart: int = GUARD[2]) -> DataFrame:
-    """`docs` with one document of each component: that with the smallest id, or, of equal ids, the smallest fingerprint.
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS[0], distinct: bool = WORDS[1], radius: int = WORDS[2], tables: int = WORDS[3], apart: int = GUARD[2]) -> DataFrame:
+    """`docs` with one document of each component: that with the smallest id, or, of equal ids, the smallest fingerprints.
 
-    Links are probed on fingerprints of the words and verified on those of the
-    five-word shingles as well (GUARD).
+    Links are probed on each of `tables` fingerprints of the words and verified
+    on those of the five-word shingles as well (GUARD).
     """
-    own = docs.columns
+    own, fps = docs.columns, tuple(f"fp{k}" for k in range(tables))
+    key = [*fps, "guard"]
 
-    @F.pandas_udf("fp long, guard long")
+    @F.pandas_udf(", ".join(f"{c} long" for c in key))
     def prints_of(texts: pd.Series) -> pd.DataFrame:
-        both = np.array([(fingerprint(t, shingle, distinct), fingerprint(t, *GUARD[:2])) for t in texts], np.uint64).reshape(-1, 2)
-        return pd.DataFrame(both.view(np.int64), columns=["fp", "guard"])
-
-    rows = written(docs.select(F.struct(*own).alias("row"), F.col(id_col).alias("id"), prints_of(text_col).alias("p")).select("row", "id", "p.fp", "p.guard"), "fingerprinted")
-    found = grouped(rows.select("id", "fp", "guard"), "id", radius, apart)
-    kept = found.groupBy("component").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "fp", "guard")).alias("k")).select(F.col("k.fp").alias("fp"), F.col("k.guard").alias("guard"), F.coalesce("k.low", F.lit(0)).alias("at"), F.col("k.low").isNull().alias("none"))
-    keyed = rows.select("row", "fp", "guard", F.coalesce("id", F.lit(0)).alias("at"), F.col("id").isNull().alias("none"))
-    keys = ["fp", "guard", "at", "none"]
-    return keyed.join(kept, keys).dropDuplicates(keys).select("row.*")
+        found = np.array([(*several(t, shingle, distinct, tables), fingerprint(t, *GUARD[:2])) for t in texts], np.uint64).reshape(-1, len(key))
+        return pd.DataFrame(found.view(np.int64), columns=key)
+
+    rows = written(docs.select(F.struct(*own).alias("row"), F.col(id_col).alias("id"), prints_of(text_col).alias("p")).select("row", "id", "p.*"), "fingerprinted")
+    found = grouped(rows.select("id", *key), "id", radius, fps, apart)
+    kept = found.groupBy("component").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", *key)).alias("k")).select(*[F.col(f"k.{c}").alias(c) for c in key], F.coalesce("k.low", F.lit(0)).alias("at"), F.col("k.low").isNull().alias("none"))
+    keyed = rows.select("row", *key, F.coalesce("id", F.lit(0)).alias("at"), F.col("id").isNull().alias("none"))
+    return keyed.join(kept, [*key, "at", "none"]).dropDuplicates([*key, "at", "none"]).select("row.*")
