@@ -18,7 +18,9 @@ A signature that more than `dense` nodes (distinct fingerprints) share is not pa
 fingerprints are linked through the codes within half the radius of each, which
 two fingerprints share exactly if they differ by the radius or less. That is
 exact for an even radius and linear in their number (65 codes each for 2 bits,
-2,081 for 4).
+2,081 for 4). With a guard, which a code says nothing of, the nodes of such a
+signature are cut into blocks by hash; each two blocks meet in a task, which
+verifies their pairs and gives a spanning forest of the links found.
 
 Features: word shingles with repeats, or (`distinct`) each once. Single distinct
 words keep near copies closest: see WORDS.
@@ -192,14 +194,48 @@ CODES = [
 ]
 
 
-def linked(nodes: DataFrame, radius: int = 2, dense: int = 64, apart: int | None = None) -> DataFrame:
+def forest(node: np.ndarray, fp: np.ndarray, guard: np.ndarray, radius: int, apart: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) of a spanning forest of all nodes within `radius` bits of `fp` and `apart` of `guard`."""
+    left, todo, a, b = np.arange(len(node)), [], [], []
+    while todo or len(left):
+        if not todo:
+            todo, left = [left[0]], left[1:]
+        at = todo.pop()
+        near = (np.bitwise_count(fp[left] ^ fp[at]) <= radius) & (np.bitwise_count(guard[left] ^ guard[at]) <= apart)
+        if near.any():
+            found, left = left[near], left[~near]
+            a.append(np.full(len(found), node[at]))
+            b.append(node[found])
+            todo += found.tolist()
+    return (np.concatenate(a), np.concatenate(b)) if a else (node[:0], node[:0])
+
+
+def linked_in_blocks(members: DataFrame, radius: int, apart: int, block: int) -> DataFrame:
+    """Edges (a, b) with the components of all links between members (node, fp, guard) of the same signature (i, v).
+
+    A signature of m members has about m / block blocks, and each member goes
+    to so many tasks. Every pair of members is in one of them.
+    """
+    sizes = members.groupBy("i", "v").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node", "v"), F.col("blocks")).cast("int")
+    cells = members.join(sizes, ["i", "v"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("i", "v", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "fp", "guard")
+
+    def search(cell: pd.DataFrame) -> pd.DataFrame:
+        node, fp, guard = (cell[c].to_numpy(np.int64) for c in ("node", "fp", "guard"))
+        return pd.DataFrame(dict(zip("ab", forest(node, fp.view(np.uint64), guard.view(np.uint64), radius, apart), strict=True)))
+
+    return cells.groupBy("i", "v", "x", "y").applyInPandas(search, "a long, b long")
+
+
+def linked(nodes: DataFrame, radius: int = 2, dense: int = 64, apart: int | None = None, block: int = 1024) -> DataFrame:
     """Edges (a, b) between distinct nodes (node, fp and, with `apart`, guard) whose components are those of all links.
 
     Every pair that some probed signature shared by at most `dense` nodes
     brings together is verified and emitted; the others link through codes
     (smallest node of each code). With `apart`, linked nodes must also differ
-    in at most so many bits of `guard`; a code then links to its smallest and
-    its largest node.
+    in at most so many bits of `guard`, and the others are verified in blocks
+    of some `block` nodes.
     """
     if radius not in (0, 1, 2, 4):
         raise ValueError("dense signatures are exact for a radius of 0, 1, 2 or 4")
@@ -232,19 +268,17 @@ def linked(nodes: DataFrame, radius: int = 2, dense: int = 64, apart: int | None
     pairs = pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b"))
     # All nodes that probe or lie under a dense signature; a pair it would bring together has both here.
     thick = probed.filter(F.col("c") > dense)
+    if apart is not None:  # a node probes its own signature too
+        return pairs.unionByName(linked_in_blocks(thick.select(*own, "i", "v"), radius, apart, block))
     inside = index.join(thick.select("i", "v").distinct(), ["i", "v"], "left_semi").select("node", "fp").unionByName(thick.select("node", "fp")).distinct()
     if radius == 1:  # one side flipped, the other as it is
         codes = inside.select("node", F.explode(F.transform(F.expr(CODES[1]), lambda m: F.col("fp").bitwiseXOR(m))).alias("code"))
         stars = codes.join(inside.select(F.col("node").alias("b"), F.col("fp").alias("code")), "code")
     else:
         codes = inside.select("node", F.explode(F.transform(F.expr(CODES[radius // 2]), lambda m: F.col("fp").bitwiseXOR(m))).alias("code"))
-        ends = [F.min("node")] if apart is None else [F.min("node"), F.max("node")]
-        lows = codes.groupBy("code").agg(F.array_distinct(F.array(*ends)).alias("ends"), F.count("*").alias("c")).filter(F.col("c") > 1).select("code", F.explode("ends").alias("b"))
+        lows = codes.groupBy("code").agg(F.min("node").alias("b"), F.count("*").alias("c")).filter(F.col("c") > 1).select("code", "b")
         stars = codes.hint("merge").join(lows.hint("merge"), "code")  # rows a node has many of, which Spark's estimates leave out
     stars = stars.filter(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b")
-    if apart is not None:
-        guards = distinct.select("node", "guard")
-        stars = stars.distinct().join(guards.toDF("a", "guard"), "a").join(guards.toDF("b", "guard_b"), "b").filter(near("guard", "guard_b", apart)).select("a", "b")
     return pairs.unionByName(stars)
 
 

@@ -71,6 +71,33 @@ def test_links_match_brute_force(spark, radius, dense):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
 
 
+@pytest.mark.parametrize("radius,dense,block", [(2, 1, 1024), (2, 1, 7), (2, 64, 30), (1, 1, 7), (4, 1, 7)])
+def test_guarded_links_match_brute_force(spark, radius, dense, block):
+    """Guards form chains and clusters of their own within a hot signature, so that its ends are apart from most nodes."""
+    rng = random.Random(5)
+    flipped = lambda x, n: x ^ sum(1 << k for k in rng.sample(range(64), n))
+    base, hubs = [rng.getrandbits(64) for _ in range(3)], [rng.getrandbits(64) for _ in range(9)]
+    rows = [(k, flipped(base[k % 3], rng.randint(0, 3)), flipped(rng.choice(hubs), rng.randint(0, 12))) for k in range(400)]
+    want = {k: k for k, _, _ in rows}
+
+    def root(k):
+        while want[k] != k:
+            k = want[k]
+        return k
+
+    for (a, x, g), (b, y, h) in itertools.combinations(rows, 2):
+        if (x ^ y).bit_count() <= radius and (g ^ h).bit_count() <= 16:
+            lo, hi = sorted((root(a), root(b)))
+            want[hi] = lo
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = frame(spark, [(k, signed(x), signed(g)) for k, x, g in rows], "node long, fp long, guard long")
+    from loomframe.llm.components import components
+
+    got = {r.node: r.component for r in components(simhash.linked(df, radius, dense, 16, block)).collect()}
+    assert {k: got.get(k, k) for k in want} == {k: root(k) for k in want}
+    assert len({root(k) for k in want}) > 9
+
+
 def test_guard_verifies_links(spark):
     """Equal words in another order are no near copy; a text of 200 words with four others in it is one."""
     words = [f"w{i * 7919 % 1000}" for i in range(200)]
