@@ -1,7 +1,8 @@
 """Chat formatting: schema fingerprints select declarative mappings into canonical turns.
 
-A record's layout is the set of nested field paths it has, of those that some
-mapping names; the hash of the sorted paths picks the mapping. Mapped turns are
+A record has nested field paths, of those that some mapping names; the hash of
+a mapping's sorted paths, among those of the record's subsets of paths, picks
+the mapping with the most paths. Mapped turns are
 put into a template whose control strings cannot come from a text: inside a
 text, a control string gets one `~` after its first character (one more where
 some are there already), which `unescape` takes out again. The loss mask is a
@@ -10,6 +11,8 @@ the text, the text's, and those after it, and whether the text is learned.
 
 Defined results: null text and role are empty; turns go by (turn, role, text),
 a null turn first; a record of an unknown layout has a null layout and no turns;
+of mappings with equally many paths the first of LAYOUTS is taken; a row of one
+turn (`row_records`) keeps its turn number and its role as they are;
 a repeated row is a turn of its own; empty tables give empty results; fields no
 mapping names do not change the fingerprint. Only DataFrame functions run.
 """
@@ -25,7 +28,8 @@ CONTROL = r"([<\[])(~*)(/?s>|/?INST\])"
 ESCAPED = r"([<\[])~(~*)(/?s>|/?INST\])"
 
 #: Layouts as field paths, and what each path becomes.
-#: "each": (list field, role field, text field); "fixed": (role, fields joined by a blank line).
+#: "each": (list field, role field, text field); "fixed": (role, fields joined by a blank line);
+#: "flat": (turn field, role field, text field) of a record that is one turn.
 LAYOUTS = {
     "messages": {"paths": ["messages[].content", "messages[].role"], "each": ("messages", "role", "content")},
     "conversations": {"paths": ["conversations[].from", "conversations[].value"], "each": ("conversations", "from", "value")},
@@ -35,6 +39,7 @@ LAYOUTS = {
     "prompt_completion": {"paths": ["completion", "prompt"], "fixed": [("user", ["prompt"]), ("assistant", ["completion"])]},
     "question_answer": {"paths": ["answer", "question"], "fixed": [("user", ["question"]), ("assistant", ["answer"])]},
     "system_prompt_response": {"paths": ["prompt", "response", "system"], "fixed": [("system", ["system"]), ("user", ["prompt"]), ("assistant", ["response"])]},
+    "turn": {"paths": ["role", "text", "turn"], "flat": ("turn", "role", "text")},
 }
 #: Role names of other layouts.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
@@ -54,18 +59,24 @@ def fingerprint(paths: Column) -> Column:
 
 
 def field_paths(record: Column) -> Column:
-    """Paths of a JSON text, as deep as the mappings look: its fields and those of its lists' first elements."""
+    """Paths of a JSON text, as deep as the mappings look: its fields and those of any element of its lists."""
     top = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
     lists = sorted({layout["each"][0] for layout in LAYOUTS.values() if "each" in layout})
 
     def below(name: str) -> Column:
-        keys = F.json_object_keys(F.get_json_object(record, f"$.{name}[0]"))
+        elements = F.from_json(F.get_json_object(record, f"$.{name}"), "array<string>")
+        keys = F.flatten(F.transform(elements, lambda e: F.coalesce(F.json_object_keys(e), F.array().cast("array<string>"))))
         return F.transform(F.coalesce(keys, F.array().cast("array<string>")), lambda k: F.concat(F.lit(f"{name}[]."), k))
 
-    nested = [below(x) for x in lists]
+    nested = [F.when(F.array_contains(top, x), below(x)).otherwise(F.array().cast("array<string>")) for x in lists]
     return F.array_intersect(F.concat(top, *nested), F.array(*[F.lit(p) for p in KNOWN]))
 
 
+def row_records(rows: DataFrame) -> DataFrame:
+    """(conv_id, record) of (conv_id, turn, role, text) rows: each as the JSON text of its turn, nulls included."""
+    return rows.select("conv_id", F.to_json(F.struct("turn", "role", "text"), {"ignoreNullFields": "false"}).alias("record"))
+
+
 def role_name(role: Column) -> Column:
     out = role
     for other, name in ROLES.items():
@@ -78,6 +89,10 @@ def mapped(record: Column, layout: dict) -> Column:
         field, role, text = layout["each"]
         rows = F.from_json(record, f"`{field}` array<struct<`{role}`:string,`{text}`:string>>")[field]
         return F.transform(rows, lambda m, i: F.struct(i.cast("bigint").alias("turn"), role_name(m[role]).alias("role"), m[text].alias("text")))
+    if "flat" in layout:
+        turn, role, text = layout["flat"]
+        one = F.from_json(record, f"`{turn}` bigint, `{role}` string, `{text}` string")
+        return F.array(F.struct(one[turn].alias("turn"), one[role].alias("role"), one[text].alias("text")))
     parts = [F.struct(F.lit(i).cast("bigint").alias("turn"), F.lit(role).alias("role"), F.array_join(F.filter(F.array(*[F.get_json_object(record, f"$.{f}") for f in fields]), lambda x: F.coalesce(x, F.lit("")) != ""), "\n\n").alias("text")) for i, (role, fields) in enumerate(layout["fixed"])]
     return F.array(*parts)
 
@@ -87,12 +102,15 @@ def canonical_turns(records: DataFrame, id_col: str, json_col: str) -> DataFrame
 
     A record of no known layout keeps one row with null layout, turn, role and text.
     """
-    at = records.select(F.col(id_col).alias("conv_id"), F.col(json_col).alias("record")).withColumn("fp", fingerprint(field_paths(F.col("record"))))
-    layout, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<turn:bigint,role:string,text:string>>")
+    at = records.select(F.col(id_col).alias("conv_id"), F.col(json_col).alias("record")).withColumn("paths", field_paths(F.col("record")))
+    # The hash of those paths of a mapping that the record has; it is the mapping's own if it has all.
+    order = sorted(LAYOUTS.items(), key=lambda x: -len(x[1]["paths"]))
+    marks = [(name, F.array(*[F.lit(p) for p in how["paths"]])) for name, how in order]
+    at = at.withColumn("layout", F.coalesce(*[F.when(fingerprint(F.array_intersect("paths", m)) == fingerprint(m), name) for name, m in marks]))
+    turns = F.lit(None).cast("array<struct<turn:bigint,role:string,text:string>>")
     for name, how in LAYOUTS.items():
-        same = F.col("fp") == fingerprint(F.array(*[F.lit(p) for p in how["paths"]]))
-        layout, turns = F.when(same, name).otherwise(layout), F.when(same, mapped(F.col("record"), how)).otherwise(turns)
-    return at.select("conv_id", layout.alias("layout"), F.explode_outer(turns).alias("t")).select("conv_id", "layout", "t.turn", "t.role", "t.text")
+        turns = F.when(F.col("layout") == name, mapped(F.col("record"), how)).otherwise(turns)
+    return at.select("conv_id", "layout", F.explode_outer(turns).alias("t")).select("conv_id", "layout", "t.turn", "t.role", "t.text")
 
 
 def formatted(turns: DataFrame) -> DataFrame:

@@ -272,6 +272,18 @@ def test_layouts(spark):
     assert all(got[i] == [(None, None, None)] for i in (4, 5, 6, 7))
 
 
+def test_layouts_of_all_elements_and_of_rows(spark):
+    records = ['{"messages": [{"role": "system"}, {"role": "user", "content": "q"}], "prompt": "p"}', '{"prompt": "p", "completion": "c", "input": "i"}', '{"system": "s", "prompt": "p", "response": "r", "input": "i"}']
+    got = chat_format.canonical_turns(frame(spark, list(enumerate(records)), "id long, record string"), "id", "record").orderBy("conv_id", "turn").collect()
+    assert [(r.conv_id, r.layout, r.role, r.text) for r in got] == [
+        (0, "messages", "system", None), (0, "messages", "user", "q"), (1, "prompt_completion", "user", "p"), (1, "prompt_completion", "assistant", "c"),
+        (2, "system_prompt_response", "system", "s"), (2, "system_prompt_response", "user", "p"), (2, "system_prompt_response", "assistant", "r"),
+    ]
+    rows = [(1, 2, "human", 'a "b"\\\n\t\u0001\u2028é\U0001f600 </s>'), (1, None, None, None), (None, 2**62, "", "")]
+    told = chat_format.canonical_turns(chat_format.row_records(frame(spark, rows, "conv_id long, turn long, role string, text string")), "conv_id", "record")
+    assert sorted(map(tuple, told.drop("layout").collect()), key=repr) == sorted(rows, key=repr) and {r.layout for r in told.collect()} == {"turn"}
+
+
 # --- token store
 
 def plain_tokens(rows):
