@@ -14,7 +14,7 @@ def stars(edges: DataFrame, small: bool) -> DataFrame:
         near = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     else:
         near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    low = written(near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "lows")
     met = near.join(low, "a")
     out = met.filter(F.col("b") != F.col("m")).select("b", "m") if small else met.filter(F.col("b") > F.col("a")).select("b", "m")
     if small:
@@ -26,8 +26,9 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of an (a, b) edge list; the component is its smallest node.
 
     Rounds go on until one changes nothing; each round's edges are written, so
-    neither lineage nor a lost executor's work grows with the rounds. The joins
-    can be split where one node has many edges.
+    neither lineage nor a lost executor's work grows with the rounds. What a join
+    takes from an aggregate is written too: both its sides are then plain
+    shuffles, which Spark can split where one node has many edges.
     """
     now = written(edges.select("a", "b").filter(F.col("a") != F.col("b")).distinct(), "edges")
     before = None

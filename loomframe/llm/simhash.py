@@ -14,16 +14,13 @@ partitions' measured collisions (fixed-size statistics of all fingerprints).
 Fingerprints are indexed under their value in each partition, probe all values
 within its threshold, and candidates are verified over all 64 bits.
 
-A signature that more than `dense` nodes (distinct fingerprints) share is not paired up: its
-fingerprints are linked through the codes within half the radius of each, which
-two fingerprints share exactly if they differ by the radius or less. That is
-exact for an even radius and linear in their number (65 codes each for 2 bits,
-2,081 for 4). With a guard, which a code says nothing of, the nodes of such a
-signature are cut into blocks by hash; each two blocks meet in a task, which
-verifies their pairs and gives a spanning forest of the links found.
+A signature that more than `dense` fingerprints share is not paired up: they are
+linked through the codes within half the radius of each, which two fingerprints
+share exactly if they differ by the radius or less. That is exact for an even
+radius and linear in their number (65 codes each for 2 bits, 2,081 for 4), and
+gives the same components as all pairs.
 
-Features: word shingles with repeats, or (`distinct`) each once. Single distinct
-words keep near copies closest: see WORDS.
+`near_copies` finds documents at a similarity of shingles with the same parts.
 
 Defined results: null, empty or wordless text has fingerprint 0, which links as
 any other; fewer words than a shingle: the whole sequence is one; null ids form
@@ -32,8 +29,8 @@ no component of their own but may share one; repeated rows are kept.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Iterable, Iterator
+from itertools import combinations
 from math import comb
 
 import numpy as np
@@ -45,22 +42,11 @@ from pyspark.sql import functions as F
 
 from loomframe.llm.common import written
 from loomframe.llm.components import components
-from loomframe.llm.segments import mix
 
 SEED, BITS = 42, 64
 
 
-#: Shingle, distinct, radius and number of fingerprints for near copies. On five-word shingles 64 bits put a pair of
-#: similarity 0.8 some 10 bits apart, where no partition of 64 bits prunes; on distinct words half of those measured (48) were within 3.
-#: Several fingerprints of the same words, from hashes mixed anew, are probed one after the other, each at two bits.
-WORDS = (1, True, 2, 3)
-#: Shingle, distinct and most differing bits of the fingerprints that verify such a link. At a similarity of 0.8 on five-word
-#: shingles 9.7 of 64 bits differ on average (standard deviation 2.9): 16 keep 98 of 100 such pairs by the binomial law,
-#: two in five at 0.5 and one in fifteen at 0.3.
-GUARD = (5, True, 16)
-
-
-def hashes(text: str | None, shingle: int = 3, distinct: bool = False) -> np.ndarray:
+def hashes(text: str | None, shingle: int = 3) -> np.ndarray:
     """XXH64 of the word shingles. A-Z are lower-cased; words are runs without ASCII white space."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
@@ -70,56 +56,54 @@ def hashes(text: str | None, shingle: int = 3, distinct: bool = False) -> np.nda
     ends = np.cumsum(sizes + 1) - 1
     n = max(1, len(parts) - shingle + 1)
     starts, stops = (ends - sizes)[:n].tolist(), ends[-n:].tolist()
-    digest, grams = xxhash.xxh64_intdigest, [whole[a:b] for a, b in zip(starts, stops, strict=True)]
-    return np.array([digest(g, SEED) for g in (set(grams) if distinct else grams)], np.uint64)
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(whole[a:b], SEED) for a, b in zip(starts, stops, strict=True)], np.uint64)
 
 
-def majority(h: np.ndarray) -> int:
-    """Bit k is 1 if over half of `h` have it set."""
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """As an unsigned number, bit k of which is 1 if over half of the hashes have it set; 0 without words."""
+    h = hashes(text, shingle)
     counts = np.zeros(BITS, np.int64)
     for lo in range(0, len(h), 1 << 16):
         counts += np.unpackbits(h[lo : lo + (1 << 16)].astype(">u8").view(np.uint8)).reshape(-1, BITS).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * counts > len(h)).tobytes(), "big")
 
 
-def fingerprint(text: str | None, shingle: int = 3, distinct: bool = False) -> int:
-    """As an unsigned number; 0 without words."""
-    return majority(hashes(text, shingle, distinct))
-
-
-def several(text: str | None, shingle: int, distinct: bool, tables: int) -> list[int]:
-    """Fingerprints from the hashes themselves and from `tables` - 1 mixtures of them."""
-    h = hashes(text, shingle, distinct)
-    return [majority(h if k == 0 else mix(h + np.uint64(k))) for k in range(tables)]
-
-
-def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 3, distinct: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 3) -> DataFrame:
     """`docs` with a column `fp` (the fingerprint's 64 bits as a long) in place of the text."""
     own = [c for c in docs.columns if c != text_col]
     schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes if c != text_col), "fp long"])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            fp = np.array([fingerprint(t, shingle, distinct) for t in batch.column(len(own)).to_pylist()], np.uint64).view(np.int64)
+            fp = np.array([fingerprint(t, shingle) for t in batch.column(len(own)).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], pa.array(fp)], [*own, "fp"])
 
     return docs.select(*own, text_col).mapInArrow(batches, schema)
 
 
 def statistics(distinct: DataFrame) -> tuple[int, np.ndarray]:
-    """Number of fingerprints, and how many have both bits of each pair (the diagonal: the bit); one row a task."""
+    """Number of fingerprints (long columns of 64 bits), and how many have both bits of each pair (the diagonal: the bit)."""
+    width = BITS * len(distinct.columns)
 
-    def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        both, n = np.zeros((BITS, BITS)), 0
+    def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:  # a fixed number of rows a task
+        both, n = np.zeros((width, width)), 0
         for pdf in it:
-            bits = np.unpackbits(pdf["fp"].to_numpy(np.int64).astype(">i8").view(np.uint8)).reshape(-1, BITS).astype(np.float32)
+            raw = np.ascontiguousarray(pdf.to_numpy(np.int64).astype(">i8")).view(np.uint8)
+            bits = np.unpackbits(raw).reshape(-1, width).astype(np.float32)
             both, n = both + bits.T @ bits, n + len(bits)
-        at = np.triu_indices(BITS)
-        yield pd.DataFrame({"k": np.append(at[0] * BITS + at[1], -1), "v": np.append(both[at], n)})
+        at = np.triu_indices(width)
+        yield pd.DataFrame({"k": np.append(at[0] * width + at[1], -1), "v": np.append(both[at], n)})
 
-    rows = {r.k: r.v for r in distinct.mapInPandas(count, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}
-    both = np.array([[rows.get(min(i, j) * BITS + max(i, j), 0.0) for j in range(BITS)] for i in range(BITS)])
-    return int(rows.get(-1, 0)), both
+    sums = distinct.mapInPandas(count, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
+    both, n = np.zeros(width * width), 0
+    for k, v in sums:
+        if k < 0:
+            n = int(v)
+        else:
+            both[k] = v
+    both = both.reshape(width, width)
+    return n, both + np.triu(both, 1).T
 
 
 def partitions(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
@@ -127,15 +111,15 @@ def partitions(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
     p = np.diag(both) / max(n, 1)
     spread = np.sqrt(np.maximum(p * (1 - p), 1e-9))
     like = np.abs(both / max(n, 1) - np.outer(p, p)) / np.outer(spread, spread)
-    left, out = set(range(BITS)), []
+    np.fill_diagonal(like, 0)
+    left, out = np.ones(len(both), bool), []
     for k in range(parts):
-        size = (BITS - sum(map(len, out))) // (parts - k)
-        mine = [max(left, key=lambda b: (sum(like[b, c] for c in left if c != b), -b))]
-        left.discard(mine[0])
-        while len(mine) < size:
-            b = max(left, key=lambda b: (like[b, mine].sum(), -b))
-            mine.append(b)
-            left.discard(b)
+        size = int(left.sum()) // (parts - k)
+        score, mine = like[:, left].sum(axis=1), []
+        for _ in range(size):
+            mine.append(int(np.argmax(np.where(left, score, -1.0))))
+            left[mine[-1]] = False
+            score = like[:, mine].sum(axis=1)
         out.append(sorted(mine))
     return out
 
@@ -150,21 +134,41 @@ def within(differ: np.ndarray, most: int) -> np.ndarray:
     return np.cumsum(d)
 
 
+def masks(bits: Iterable[int], columns: int = 1) -> list[int]:
+    """Signed 64-bit numbers, one a column, with the bits (0: the highest of the first) set."""
+    out = [0] * columns
+    for b in bits:
+        out[b // BITS] |= 1 << (BITS - 1 - b % BITS)
+    return [m - (1 << BITS) if m >> (BITS - 1) else m for m in out]
+
+
 def value(fp: Column, bits: list[int]) -> Column:
-    mask = sum(1 << (BITS - 1 - b) for b in bits)
-    return fp.bitwiseAND(F.lit(mask - (1 << BITS) if mask >= 1 << (BITS - 1) else mask))
+    return fp.bitwiseAND(F.lit(masks(bits)[0]))
 
 
-def thresholds(distinct: DataFrame, n: int, both: np.ndarray, groups: list[list[int]], radius: int) -> tuple[float, list[int]]:
-    """Least estimated cost and thresholds (each -1..radius) adding up to radius - partitions + 1."""
-    p = np.diag(both) / max(n, 1)
-    collide = distinct.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), value(F.col("fp"), g).alias("v")) for i, g in enumerate(groups)]))).groupBy("i", "v").agg(F.count("*").alias("c")).groupBy("i").agg(F.sum(F.col("c").cast("double") * (F.col("c") - 1) / 2).alias("pairs"))
-    equal = {r.i: r.pairs for r in collide.collect()}
-    cost = []
-    for i, g in enumerate(groups):
+def collisions(distinct: DataFrame, options: list[list[list[Column]]], most: int) -> list[list[float]]:
+    """Pairs to compare of equal values of each partition, given as columns, for each of some ways to cut the bits.
+
+    Where many share a value, so many pairs a fingerprint: it is then linked in another way.
+    """
+    keys = [F.struct(F.lit(o).alias("o"), F.lit(i).alias("i"), F.xxhash64(*k).alias("v")) for o, option in enumerate(options) for i, k in enumerate(option)]
+    met = distinct.select(F.inline(F.array(*keys))).groupBy("o", "i", "v").agg(F.count("*").alias("c"))
+    pairs = met.filter("c > 1").groupBy("o", "i").agg(F.sum(F.col("c").cast("double") * F.least(F.col("c") - 1, F.lit(most)) / 2).alias("pairs"))
+    found = {(r.o, r.i): r.pairs for r in pairs.collect()}
+    return [[found.get((o, i), 0.0) for i in range(len(option))] for o, option in enumerate(options)]
+
+
+def thresholds(equal: list[float], n: int, both: np.ndarray, groups: list[list[int]], radius: int) -> tuple[float, list[int]]:
+    """Least estimated cost and thresholds (each -1..radius) adding up to radius - partitions + 1.
+
+    The cost of a threshold is its probes and its candidate pairs: those that
+    independent bits of their frequencies would give, scaled up where more pairs collide.
+    """
+    p, cost = np.diag(both) / max(n, 1), []
+    for g, same in zip(groups, equal, strict=True):
         chance = within(2 * p[g] * (1 - p[g]), radius) * n * (n - 1) / 2
-        grown = [equal.get(i, 0.0) * max(1.0, c / max(chance[0], 1e-9)) if equal.get(i, 0.0) > chance[0] else c for c in chance]
-        cost.append({-1: 0.0, **{t: n * sum(comb(len(g), k) for k in range(t + 1)) + grown[t] for t in range(radius + 1)}})
+        grown = [same * max(1.0, c / max(chance[0], 1e-9)) if same > chance[0] else c for c in chance]
+        cost.append({-1: 0.0, **{t: max(n, 1) * sum(comb(len(g), k) for k in range(t + 1)) + grown[t] for t in range(radius + 1)}})
     best = {0: (0.0, [])}
     for c in cost:
         step: dict[int, tuple[float, list[int]]] = {}
@@ -177,13 +181,8 @@ def thresholds(distinct: DataFrame, n: int, both: np.ndarray, groups: list[list[
 
 
 def flips(bits: list[int], most: int) -> list[int]:
-    """Signed 64-bit masks of up to `most` of the bits."""
-    signed = lambda m: m - (1 << BITS) if m >= 1 << (BITS - 1) else m
-    out, level = [0], [(0, -1)]
-    for _ in range(most):
-        level = [(m | 1 << (BITS - 1 - b), i) for m, last in level for i, b in enumerate(bits) if i > last]
-        out += [m for m, _ in level]
-    return [signed(m) for m in out]
+    """Signed 64-bit masks of up to `most` of the bits; the first is 0."""
+    return [masks(some)[0] for k in range(most + 1) for some in combinations(bits, k)]
 
 
 #: Masks of up to so many of the 64 bits, as one expression each.
@@ -194,82 +193,36 @@ CODES = [
 ]
 
 
-def forest(node: np.ndarray, fp: np.ndarray, guard: np.ndarray, radius: int, apart: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a, b) of a spanning forest of all nodes within `radius` bits of `fp` and `apart` of `guard`."""
-    left, todo, a, b = np.arange(len(node)), [], [], []
-    while todo or len(left):
-        if not todo:
-            todo, left = [left[0]], left[1:]
-        at = todo.pop()
-        near = (np.bitwise_count(fp[left] ^ fp[at]) <= radius) & (np.bitwise_count(guard[left] ^ guard[at]) <= apart)
-        if near.any():
-            found, left = left[near], left[~near]
-            a.append(np.full(len(found), node[at]))
-            b.append(node[found])
-            todo += found.tolist()
-    return (np.concatenate(a), np.concatenate(b)) if a else (node[:0], node[:0])
-
+def linked(nodes: DataFrame, radius: int = 2, dense: int = 64) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints (node, fp) whose components are those of all links.
 
-def linked_in_blocks(members: DataFrame, radius: int, apart: int, block: int) -> DataFrame:
-    """Edges (a, b) with the components of all links between members (node, fp, guard) of the same signature (i, v).
-
-    A signature of m members has about m / block blocks, and each member goes
-    to so many tasks. Every pair of members is in one of them.
-    """
-    sizes = members.groupBy("i", "v").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node", "v"), F.col("blocks")).cast("int")
-    cells = members.join(sizes, ["i", "v"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("i", "v", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "fp", "guard")
-
-    def search(cell: pd.DataFrame) -> pd.DataFrame:
-        node, fp, guard = (cell[c].to_numpy(np.int64) for c in ("node", "fp", "guard"))
-        return pd.DataFrame(dict(zip("ab", forest(node, fp.view(np.uint64), guard.view(np.uint64), radius, apart), strict=True)))
-
-    return cells.groupBy("i", "v", "x", "y").applyInPandas(search, "a long, b long")
-
-
-def linked(nodes: DataFrame, radius: int = 2, dense: int = 64, apart: int | None = None, block: int = 1024) -> DataFrame:
-    """Edges (a, b) between distinct nodes (node, fp and, with `apart`, guard) whose components are those of all links.
-
-    Every pair that some probed signature shared by at most `dense` nodes
+    Every pair that some probed signature shared by at most `dense` of them
     brings together is verified and emitted; the others link through codes
-    (smallest node of each code). With `apart`, linked nodes must also differ
-    in at most so many bits of `guard`, and the others are verified in blocks
-    of some `block` nodes.
+    (smallest node of each code).
     """
     if radius not in (0, 1, 2, 4):
         raise ValueError("dense signatures are exact for a radius of 0, 1, 2 or 4")
-    own = ["node", "fp"] if apart is None else ["node", "fp", "guard"]
-    distinct = nodes.select(*own)
+    distinct = nodes.select("node", "fp")
     n, both = statistics(distinct.select("fp"))
-    plans = []
-    for parts in (2, 3, 4):
-        groups = partitions(n, both, parts)
-        plans.append((*thresholds(distinct, n, both, groups, radius), groups))
-    _, chosen, groups = min(plans, key=lambda x: x[0])
+    options = [partitions(n, both, parts) for parts in (2, 3, 4)]
+    equal = collisions(distinct, [[[value(F.col("fp"), g)] for g in groups] for groups in options], 2 * dense)
+    _, chosen, groups = min(((*thresholds(e, n, both, g, radius), g) for g, e in zip(options, equal, strict=True)), key=lambda x: x[0])
     used = [(i, g, t) for i, (g, t) in enumerate(zip(groups, chosen, strict=True)) if t >= 0]
     values = F.array(*[F.struct(F.lit(i).alias("i"), value(F.col("fp"), g).alias("v")) for i, g, _ in used])
-    index = distinct.select(*own, F.inline(values))
+    index = distinct.select("node", "fp", F.inline(values))
 
     def tried(g: list[int], t: int, i: int) -> Column:
-        masks = F.array(*[F.lit(m).cast("long") for m in flips(g, t)])
-        return F.transform(masks, lambda m: F.struct(F.lit(i).alias("i"), value(F.col("fp"), g).bitwiseXOR(m).alias("v"), (m == 0).alias("own")))
-
-    def near(a: str, b: str, most: int) -> Column:
-        return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= most
+        flipped = F.array(*[F.lit(m).cast("long") for m in flips(g, t)])
+        return F.transform(flipped, lambda m: F.struct(F.lit(i).alias("i"), value(F.col("fp"), g).bitwiseXOR(m).alias("v"), (m == 0).alias("own")))
 
-    probe = distinct.select(*own, F.inline(F.flatten(F.array(*[tried(g, t, i) for i, g, t in used]))))
+    probe = distinct.select("node", "fp", F.inline(F.flatten(F.array(*[tried(g, t, i) for i, g, t in used]))))
     sizes = index.groupBy("i", "v").agg(F.count("*").alias("c"))
     probed = written(probe.join(sizes, ["i", "v"]).filter(~F.col("own") | (F.col("c") > 1)).drop("own"), "probes")
     thin = probed.filter(F.col("c") <= dense).drop("c")
-    pairs = thin.join(index.withColumnsRenamed({c: f"{c}_b" for c in own}), ["i", "v"]).filter((F.col("node") != F.col("node_b")) & near("fp", "fp_b", radius))
-    if apart is not None:
-        pairs = pairs.filter(near("guard", "guard_b", apart))
-    pairs = pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b"))
+    met = thin.join(index.withColumnsRenamed({"node": "b", "fp": "fp_b"}), ["i", "v"])
+    pairs = met.filter((F.col("node") != F.col("b")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_b"))) <= radius)).select(F.col("node").alias("a"), "b")
     # All nodes that probe or lie under a dense signature; a pair it would bring together has both here.
     thick = probed.filter(F.col("c") > dense)
-    if apart is not None:  # a node probes its own signature too
-        return pairs.unionByName(linked_in_blocks(thick.select(*own, "i", "v"), radius, apart, block))
     inside = index.join(thick.select("i", "v").distinct(), ["i", "v"], "left_semi").select("node", "fp").unionByName(thick.select("node", "fp")).distinct()
     if radius == 1:  # one side flipped, the other as it is
         codes = inside.select("node", F.explode(F.transform(F.expr(CODES[1]), lambda m: F.col("fp").bitwiseXOR(m))).alias("code"))
@@ -282,47 +235,16 @@ def linked(nodes: DataFrame, radius: int = 2, dense: int = 64, apart: int | None
     return pairs.unionByName(stars)
 
 
-def grouped(rows: DataFrame, id_col: str, radius: int = 2, fps: tuple[str, ...] = ("fp",), apart: int | None = None) -> DataFrame:
-    """(fps, low, component, component_id; with `apart`, guard): each distinct row of fingerprints with its own smallest id and its component's.
-
-    Rows link by any of the columns `fps`.
-    """
-    key = [*fps] if apart is None else [*fps, "guard"]
-    node = F.col(key[0]) if len(key) == 1 else F.monotonically_increasing_id()
-    distinct = written(rows.groupBy(*key).agg(F.min(id_col).alias("low")).withColumn("node", node), "distinct")
-    edges = [linked(distinct.select("node", F.col(fp).alias("fp"), *key[len(fps) :]), radius, apart=apart) for fp in fps]
-    groups = components(reduce(DataFrame.unionByName, edges))
-    named = distinct.join(groups, "node", "left").select(*key, "low", F.coalesce("component", "node").alias("component"))
-    lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    return written(named.join(lows, "component").select(*key, "low", "component", "component_id"), "components")
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distinct: bool = False, radius: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
     """(id, fp, component_id) of every row; component_id is the smallest id of the documents reachable by links."""
-    rows = written(fingerprints(docs.select(F.col(id_col), F.col(text_col)), text_col, shingle, distinct), "fingerprints")
-    return rows.join(grouped(rows, id_col, radius).select("fp", "component_id"), "fp").select(F.col(id_col), "fp", "component_id")
+    rows = written(fingerprints(docs.select(F.col(id_col), F.col(text_col)), text_col, shingle), "fingerprints")
+    distinct = written(rows.groupBy("fp").agg(F.min(id_col).alias("low")).withColumn("node", F.col("fp")), "distinct")
+    groups = components(linked(distinct.select("node", "fp"), radius))
+    named = written(distinct.join(groups, "node", "left").select("fp", "low", F.coalesce("component", "node").alias("component")), "named")
+    lows = written(named.groupBy("component").agg(F.min("low").alias("component_id")), "lows")
+    told = written(named.join(lows, "component").select("fp", "component_id"), "components")
+    return rows.join(told, "fp").select(F.col(id_col), "fp", "component_id")
 
 
 def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS[0], distinct: bool = WORDS[1], radius: int = WORDS[2], tables: int = WORDS[3], apart: int = GUARD[2]) -> DataFrame:
-    """`docs` with one document of each component: that with the smallest id, or, of equal ids, the smallest fingerprints.
-
-    Links are probed on each of `tables` fingerprints of the words and verified
-    on those of the five-word shingles as well (GUARD).
-    """
-    own, fps = docs.columns, tuple(f"fp{k}" for k in range(tables))
-    key = [*fps, "guard"]
-
-    @F.pandas_udf(", ".join(f"{c} long" for c in key))
-    def prints_of(texts: pd.Series) -> pd.DataFrame:
-        found = np.array([(*several(t, shingle, distinct, tables), fingerprint(t, *GUARD[:2])) for t in texts], np.uint64).reshape(-1, len(key))
-        return pd.DataFrame(found.view(np.int64), columns=key)
-
-    rows = written(docs.select(F.struct(*own).alias("row"), F.col(id_col).alias("id"), prints_of(text_col).alias("p")).select("row", "id", "p.*"), "fingerprinted")
-    found = grouped(rows.select("id", *key), "id", radius, fps, apart)
-    kept = found.groupBy("component").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", *key)).alias("k")).select(*[F.col(f"k.{c}").alias(c) for c in key], F.coalesce("k.low", F.lit(0)).alias("at"), F.col("k.low").isNull().alias("none"))
-    keyed = rows.select("row", *key, F.coalesce("id", F.lit(0)).alias("at"), F.col("id").isNull().alias("none"))
-    return keyed.join(kept, [*key, "at", "none"]).dropDuplicates([*key, "at", "none"]).select("row.*")

@@ -23,12 +23,12 @@ def frame(spark, rows, schema):
 
 # --- SimHash
 
-def plain_fingerprint(text, shingle=3, distinct=False):
+def plain_fingerprint(text, shingle=3):
     parts = bytes((text or ""), "utf-8").lower().split()
     if not parts:
         return 0
     grams = [b" ".join(parts[i : i + shingle]) for i in range(max(1, len(parts) - shingle + 1))]
-    h = [xxhash.xxh64_intdigest(g, 42) for g in (set(grams) if distinct else grams)]
+    h = [xxhash.xxh64_intdigest(g, 42) for g in grams]
     return sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
 
 
@@ -71,51 +71,27 @@ def test_links_match_brute_force(spark, radius, dense):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
 
 
-@pytest.mark.parametrize("radius,dense,block", [(2, 1, 1024), (2, 1, 7), (2, 64, 30), (1, 1, 7), (4, 1, 7)])
-def test_guarded_links_match_brute_force(spark, radius, dense, block):
-    """Guards form chains and clusters of their own within a hot signature, so that its ends are apart from most nodes."""
-    rng = random.Random(5)
-    flipped = lambda x, n: x ^ sum(1 << k for k in rng.sample(range(64), n))
-    base, hubs = [rng.getrandbits(64) for _ in range(3)], [rng.getrandbits(64) for _ in range(9)]
-    rows = [(k, flipped(base[k % 3], rng.randint(0, 3)), flipped(rng.choice(hubs), rng.randint(0, 12))) for k in range(400)]
-    want = {k: k for k, _, _ in rows}
-
-    def root(k):
-        while want[k] != k:
-            k = want[k]
-        return k
-
-    for (a, x, g), (b, y, h) in itertools.combinations(rows, 2):
-        if (x ^ y).bit_count() <= radius and (g ^ h).bit_count() <= 16:
-            lo, hi = sorted((root(a), root(b)))
-            want[hi] = lo
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    df = frame(spark, [(k, signed(x), signed(g)) for k, x, g in rows], "node long, fp long, guard long")
-    from loomframe.llm.components import components
-
-    got = {r.node: r.component for r in components(simhash.linked(df, radius, dense, 16, block)).collect()}
-    assert {k: got.get(k, k) for k in want} == {k: root(k) for k in want}
-    assert len({root(k) for k in want}) > 9
-
-
-def test_guard_verifies_links(spark):
-    """Equal words in another order are no near copy; a text of 200 words with four others in it is one."""
-    words = [f"w{i * 7919 % 1000}" for i in range(200)]
-    changed = [w if i % 50 else "other" + w for i, w in enumerate(words)]
-    docs = frame(spark, [(1, " ".join(words)), (2, " ".join(sorted(words))), (3, " ".join(changed)), (4, " ".join(words).upper())], "doc_id long, text string")
-    assert simhash.fingerprint(docs.first().text, 1, True) == simhash.fingerprint(" ".join(sorted(words)), 1, True)
-    both = zip(*(simhash.several(" ".join(w), 1, True, simhash.WORDS[3]) for w in (words, changed)), strict=True)
-    near = any((x ^ y).bit_count() <= simhash.WORDS[2] for x, y in both)
-    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == ([1, 2] if near else [1, 2, 3])
-
-
 def test_near_duplicates_edges(spark):
     docs = frame(spark, [(3, "a b c d"), (1, "A b c d"), (1, "A b c d"), (None, None), (7, ""), (9, "other words here now")], "doc_id long, text string").withColumn("fp", F.lit("clash"))
     got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()}
     assert got == {(3, 1), (1, 1), (None, 7), (7, 7), (9, 9)}
-    kept = simhash.one_of_each(docs)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 7, 9]
-    assert simhash.near_duplicates(docs.limit(0)).count() == 0 and simhash.one_of_each(docs.limit(0)).count() == 0
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_op3_matches_brute_force(spark):
+    """The registered query over the whole table: fingerprints by hand, components by all pairs."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    fps = {r.doc_id: plain_fingerprint(r.text) for r in docs}
+    low = {d: d for d in fps}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in itertools.combinations(fps, 2):
+            if (fps[a] ^ fps[b]).bit_count() <= 2 and low[a] != low[b]:
+                low[a] = low[b] = min(low[a], low[b])
+                changed = True
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op3_simhash(spark, SF).collect()}
+    assert got == {d: (f"{fps[d]:016x}", low[d]) for d in fps}
 
 
 # --- media

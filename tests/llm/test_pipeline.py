@@ -7,8 +7,8 @@ import numpy as np
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
-from loomframe.llm import decontaminate, language_id, mixing, queries, simhash
-from tests.llm.test_operators import plain_fingerprint
+from loomframe.llm import decontaminate, language_id, mixing, queries
+from tests.llm.test_near_copies import grouped, shingles
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,18 +18,7 @@ def test_pipeline_matches_a_plain_version(spark):
     docs = {r.doc_id: r for r in frame.collect()}
     model = language_id.fit(language_id.learning_rows(frame))
     kept = [d for d in sorted(docs) if (lambda lang, score: lang != "und" and score >= P.LEAST_SCORE)(*model.predict(docs[d].text))]
-    (shingle, distinct, radius, tables), (guard, guard_distinct, apart) = simhash.WORDS, simhash.GUARD
-    prints = {d: (simhash.several(docs[d].text, shingle, distinct, tables), plain_fingerprint(docs[d].text, guard, guard_distinct)) for d in kept}
-    assert all(prints[d][0][0] == plain_fingerprint(docs[d].text, shingle, distinct) for d in kept)
-    group = {d: d for d in kept}
-    changed = True
-    while changed:
-        changed = False
-        for a in kept:
-            for b in kept:
-                if any((x ^ y).bit_count() <= radius for x, y in zip(prints[a][0], prints[b][0], strict=True)) and (prints[a][1] ^ prints[b][1]).bit_count() <= apart and group[a] != group[b]:
-                    group[a] = group[b] = min(group[a], group[b])
-                    changed = True
+    group = grouped({d: shingles(docs[d].text) for d in kept})
     kept = [d for d in kept if group[d] == d]
     items = [decontaminate.shingles(decontaminate.words(r.text)) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     has = {d: decontaminate.shingles(decontaminate.words(docs[d].text)) for d in kept}
