@@ -30,6 +30,22 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables written under one folder of the shared directory, which goes when what is made from them is written."""
+
+    def __init__(self, spark: SparkSession, what: str):
+        self.spark, self.folder, self.n = spark, new_path(spark, what), 0
+
+    def written(self, df: DataFrame, what: str) -> DataFrame:
+        self.n += 1
+        path = f"{self.folder}/{self.n}-{what}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        remove(self.spark, self.folder)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomframe.llm.common import written
 
 
-def stars(edges: DataFrame, small: bool) -> DataFrame:
+Keep = Callable[[DataFrame, str], DataFrame]
+
+
+def stars(edges: DataFrame, small: bool, keep: Keep) -> DataFrame:
     """Each node's neighbours linked to the smallest of the node and its neighbours: the larger ones (large star), or the smaller and the node itself (small star)."""
     if small:
         near = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     else:
         near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = written(near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "lows")
+    low = keep(near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "lows")
     met = near.join(low, "a")
     out = met.filter(F.col("b") != F.col("m")).select("b", "m") if small else met.filter(F.col("b") > F.col("a")).select("b", "m")
     if small:
@@ -22,7 +27,7 @@ def stars(edges: DataFrame, small: bool) -> DataFrame:
     return out.select(F.col("b").alias("a"), F.col("m").alias("b")).filter(F.col("a") != F.col("b")).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, keep: Keep = written) -> DataFrame:
     """(node, component) of every node of an (a, b) edge list; the component is its smallest node.
 
     Rounds go on until one changes nothing; each round's edges are written, so
@@ -30,10 +35,10 @@ def components(edges: DataFrame) -> DataFrame:
     takes from an aggregate is written too: both its sides are then plain
     shuffles, which Spark can split where one node has many edges.
     """
-    now = written(edges.select("a", "b").filter(F.col("a") != F.col("b")).distinct(), "edges")
+    now = keep(edges.select("a", "b").filter(F.col("a") != F.col("b")).distinct(), "edges")
     before = None
     while True:
-        now = written(stars(stars(now, small=False), small=True), "edges")
+        now = keep(stars(stars(now, False, keep), True, keep), "edges")
         state = now.select(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -21,9 +21,9 @@ shingle) have a Jaccard similarity of `SIMILARITY` or more.
    connected. So no link is lost, and a group whose members link takes a few pivots.
    What stays outside (texts of the signature that are no near copies) is compared
    with all of it.
-4. Verification compares whole shingle sets, of those texts alone: after the
-   first round's join, whose pairs are few for a signature, and inside the join
-   of the later rounds, where hot signatures alone are left.
+4. Verification compares whole shingle sets, of those texts alone: of the first
+   round's distinct pairs, which are few for a signature, and inside the join of
+   the later rounds, so that hot signatures give no rows but links.
 
 Defined results: texts without words (null, empty, white space) are one node;
 null ids come last, equal ids by row; repeated rows count as copies; an empty
@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomframe.llm import simhash
-from loomframe.llm.common import written
+from loomframe.llm.common import Scratch, written
 from loomframe.llm.components import components
 from loomframe.llm.segments import mix
 
@@ -130,7 +130,7 @@ def flipped(bits: list[int], most: int) -> list[list[int]]:
     return [simhash.masks(s, TABLES) for s in sets]
 
 
-def signatures(nodes: DataFrame) -> DataFrame:
+def signatures(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """(v, node, guard, n) of every signature that some node has and another one has or probes."""
     n, both = simhash.statistics(nodes.select(*FPS))
     options = [simhash.partitions(n, both, parts) for parts in (RADIUS + 1, 2 * RADIUS // 3, RADIUS // 2)]
@@ -148,7 +148,7 @@ def signatures(nodes: DataFrame) -> DataFrame:
     found = F.flatten(F.array(*[probed(i, g, t, c) for i, (g, t, c) in enumerate(zip(groups, chosen, key, strict=True)) if t >= 0]))
     members = nodes.select("node", "guard", "n", F.inline(found))
     often = members.groupBy("v").agg(F.count("*").alias("c"), F.max("own").alias("own")).filter("c > 1 and own").select("v")
-    return members.drop("own").join(written(often, "signatures"), "v")
+    return members.drop("own").join(scratch.written(often, "signatures"), "v")
 
 
 def unsettled(members: DataFrame) -> DataFrame:
@@ -158,15 +158,21 @@ def unsettled(members: DataFrame) -> DataFrame:
     return most.select("v", F.col("m.comp").alias("main"), (F.col("all") - F.col("m.c")).alias("rest")).filter("rest > 0")
 
 
-def compared(members: DataFrame, pivots: int, similarity: float, on_sets: bool) -> DataFrame:
-    """Distinct pairs (a, b) of unconnected nodes, a pivot of a signature and any node of it, that may be similar, or, `on_sets` (s), are."""
-    kept = [c for c in members.columns if c not in ("v", "main", "rest")]
+def sides(members: DataFrame, pivots: int) -> tuple[DataFrame, DataFrame]:
+    """The signatures' nodes, and this round's pivots with columns named _p."""
+    own = [c for c in members.columns if c not in ("main", "rest")]
     chosen = (F.col("comp") != F.col("main")) & (F.pmod(F.xxhash64("node", "v"), "rest") < pivots)
-    side = members.filter(chosen).select("v", *[F.col(c).alias(f"{c}_p") for c in kept])
+    return members.select(*own), members.filter(chosen).select(*own).toDF(*[f"{c}_p" for c in own])
+
+
+def likely(similarity: float) -> Column:
+    """Whether an unconnected node and pivot of a signature may be similar."""
     alike = F.bit_count(F.col("guard").bitwiseXOR(F.col("guard_p"))) <= GUARD
     sized = F.least("n", "n_p") >= similarity * F.greatest("n", "n_p")
-    which = (members["v"] == side["v"]) & (F.col("comp") != F.col("comp_p")) & alike & sized
-    met = members.join(side, which & similar("s", "s_p", similarity) if on_sets else which)
+    return (F.col("v") == F.col("v_p")) & (F.col("comp") != F.col("comp_p")) & alike & sized
+
+
+def pairs_of(met: DataFrame) -> DataFrame:
     return met.select(F.least("node", "node_p").alias("a"), F.greatest("node", "node_p").alias("b")).distinct()
 
 
@@ -180,38 +186,49 @@ def only(rows: DataFrame, key: str, ids: DataFrame, n: int, how: str = "left_sem
     return rows.join(F.broadcast(ids) if n <= SMALL else ids, key, how)
 
 
-def shingle_table(ids: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, s) of the distinct ids (node); texts: (node, text)."""
-    ids = written(ids.distinct(), "verified-nodes")
+def shingle_table(ids: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, s) of the ids (node); texts: (node, text)."""
+    ids = scratch.written(ids.distinct(), "verified-nodes")
     shingle_set = F.pandas_udf(shingle_sets, "array<long>")
-    return written(only(texts, "node", ids, ids.count()).select("node", shingle_set("text").alias("s")), "shingle-sets")
+    return scratch.written(only(texts, "node", ids, ids.count()).select("node", shingle_set("text").alias("s")), "shingle-sets")
 
 
-def links(open_: DataFrame, texts: DataFrame, pivots: int, similarity: float, first: bool) -> DataFrame:
+def links(members: DataFrame, texts: DataFrame, pivots: int, similarity: float, first: bool, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of at least the similarity that the pivots of this round find."""
     if not first:
-        sets = shingle_table(open_.select("node"), texts)
-        return compared(written(open_.join(sets, "node"), "members-with-sets"), pivots, similarity, True)
-    pairs = written(compared(open_, pivots, similarity, False), "candidates")
-    sets = shingle_table(pairs.select(F.explode(F.array("a", "b")).alias("node")), texts)
-    met = pairs.join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "s_p"), "b")
-    return met.filter(similar("s", "s_p", similarity)).select("a", "b")
-
-
-def groups(nodes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, pivots: int = PIVOTS) -> DataFrame:
+        open_at = members.groupBy("node").agg(F.sort_array(F.collect_list("v")).alias("vs"))  # a node has a fixed number of signatures
+        members = scratch.written(members.join(scratch.written(open_at, "signatures-of"), "node"), "members-in")
+    nodes, chosen = sides(members, pivots)
+    if first:
+        pairs = scratch.written(pairs_of(nodes.join(chosen, likely(similarity))), "candidates")
+        sets = shingle_table(pairs.select(F.explode(F.array("a", "b")).alias("node")), texts, scratch)
+        met = pairs.join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "s_p"), "b")
+        return met.filter(similar("s", "s_p", similarity)).select("a", "b")
+    # The first open signature that a pair shares compares it; if one that is settled did not connect it, it is not similar.
+    once = likely(similarity) & (F.array_intersect("vs", "vs_p")[0] == F.col("v"))
+    hit = scratch.written(nodes.join(chosen, once, "left_semi"), "likely-nodes")
+    hitting = scratch.written(chosen.join(nodes, once, "left_semi"), "likely-pivots")
+    sets = shingle_table(hit.select("node").unionByName(hitting.select(F.col("node_p").alias("node"))), texts, scratch)
+    hit = scratch.written(hit.join(sets, "node"), "nodes-with-sets")
+    hitting = scratch.written(hitting.join(sets.toDF("node_p", "s_p"), "node_p"), "pivots-with-sets")
+    return pairs_of(hit.join(hitting, once & similar("s", "s_p", similarity)))
+
+
+def groups(nodes: DataFrame, texts: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, pivots: int = PIVOTS) -> DataFrame:
     """(node, component) of the nodes with links; the component is its smallest node."""
-    members = written(signatures(nodes).withColumn("comp", F.col("node")), "members")
+    keep = scratch.written
+    members = keep(signatures(nodes, scratch).withColumn("comp", F.col("node")), "members")
     stars, first = None, True
     while True:
-        open_ = written(members.join(written(unsettled(members), "unsettled"), "v"), "unsettled-members")
+        open_ = keep(members.join(keep(unsettled(members), "unsettled"), "v"), "unsettled-members")
         if stars is not None and open_.isEmpty():
             return stars
-        edges = written(links(open_, texts, pivots, similarity, first), "links")
+        edges = keep(links(open_, texts, pivots, similarity, first, scratch), "links")
         if first or not edges.isEmpty():
-            stars = written(components(edges if first else edges.unionByName(stars.toDF("a", "b"))), "stars")
+            stars = keep(components(edges if first else edges.unionByName(stars.toDF("a", "b")), keep), "stars")
         left = open_.filter(F.col("rest") > pivots).select("v", "node", "guard", "n")
         left = left.join(stars.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        members, pivots, first = written(left, "members"), pivots * GROWTH, False
+        members, pivots, first = keep(left, "members"), pivots * GROWTH, False
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -220,11 +237,14 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     told = F.pandas_udf(prints, ", ".join(f"{c} long" for c in [*FPS, "guard", "k0", "k1", "n"]))
     rows = docs.select(own, F.col(id_col).alias("id"), told(text_col).alias("p"), F.monotonically_increasing_id().alias("uid"))
     rows = written(rows.select("row", "id", "uid", "p.*"), "fingerprinted")
+    scratch = Scratch(docs.sparkSession, "near-copies")
+    keep = scratch.written
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("low")
     nodes = rows.groupBy("k0", "k1").agg(first, *[F.first(c).alias(c) for c in [*FPS, "guard", "n"]])
-    nodes = written(nodes.select("low", F.col("low.uid").alias("node"), *FPS, "guard", "n"), "nodes")
-    stars = groups(nodes.select("node", *FPS, "guard", "n"), rows.select(F.col("uid").alias("node"), F.col(f"row.`{text_col}`").alias("text")), similarity)
+    nodes = keep(nodes.select("low", F.col("low.uid").alias("node"), *FPS, "guard", "n"), "nodes")
+    stars = groups(nodes.select("node", *FPS, "guard", "n"), rows.select(F.col("uid").alias("node"), F.col(f"row.`{text_col}`").alias("text")), scratch, similarity)
     comp = nodes.select("low", "node").join(stars, "node", "left").select("low", F.coalesce("component", "node").alias("component"))
-    kept = written(comp.groupBy("component").agg(F.min("low").alias("low")).select(F.col("low.uid").alias("uid")), "kept")
+    kept = keep(comp.groupBy("component").agg(F.min("low").alias("low")).select(F.col("low.uid").alias("uid")), "kept")
     gone = written(rows.select("uid").join(kept, "uid", "left_anti"), "dropped")
+    scratch.drop()
     return only(rows, "uid", gone, gone.count(), "left_anti").select("row.*")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomframe.llm import near_copies
-from loomframe.llm.common import written
+from loomframe.llm.common import Scratch, written
 
 SF = "/root/testdata/sf0.1"
 
@@ -70,7 +70,7 @@ def corpus():
 def test_no_link_of_a_signature_is_lost(spark, pivots, monkeypatch):
     """With a guard that passes all and one signature for all nodes, groups are those of all pairs, whatever the pivots."""
     monkeypatch.setattr(near_copies, "GUARD", 64)
-    monkeypatch.setattr(near_copies, "signatures", lambda nodes: nodes.select(F.lit(1).cast("long").alias("v"), "node", "guard", "n"))
+    monkeypatch.setattr(near_copies, "signatures", lambda nodes, scratch: nodes.select(F.lit(1).cast("long").alias("v"), "node", "guard", "n"))
     texts = corpus()
     frame = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
     told = F.pandas_udf(near_copies.prints, ", ".join(f"{c} long" for c in [*near_copies.FPS, "guard", "k0", "k1", "n"]))
@@ -78,7 +78,7 @@ def test_no_link_of_a_signature_is_lost(spark, pivots, monkeypatch):
     nodes = written(first.select("node", *near_copies.FPS, "guard", "n"), "nodes")
     kept = sorted(r.node for r in nodes.select("node").collect())
     sets = {k: shingles(texts[k]) for k in kept}
-    got = {r.node: r.component for r in near_copies.groups(nodes, frame, pivots=pivots).collect()}
+    got = {r.node: r.component for r in near_copies.groups(nodes, frame, Scratch(spark, "near"), pivots=pivots).collect()}
     assert {k: got.get(k, k) for k in kept} == grouped(sets)
 
 
