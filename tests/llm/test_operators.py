@@ -285,7 +285,6 @@ def test_token_store_round_trip(spark):
     assert got == [tuple(w) for w in want]
     sums = sorted(tuple(r) for r in token_store.read_sums(spark, out, 2).collect())
     assert sums == [(d, s, len(i), zlib.crc32(np.array(i, "<u4").tobytes())) for d, s, i in want]
-    assert token_store.broken(spark, out).count() == 0
     chunks = spark.read.parquet(f"{out}/chunks")
     assert chunks.count() == chunks.select("digest").distinct().count()
     empty = new_path(spark, "t")
@@ -293,6 +292,47 @@ def test_token_store_round_trip(spark):
     assert token_store.read_sums(spark, empty, 2).count() == 0
 
 
+def test_token_store_orders_nulls_repeats_and_columns(spark):
+    rows = [(5, "b b"), (None, "n"), (5, "a"), (5, "a"), (2, None), (None, None)]
+    docs = frame(spark, rows, "doc_id long, text string").withColumns({"_seq": F.lit(1), "rid": F.lit("x"), "at": F.lit(7) - F.coalesce("doc_id", F.lit(0))})
+    out, by_at = new_path(spark, "t"), new_path(spark, "t")
+    token_store.write_store(docs, out, queries.tokenizer_path(), queries.END_ID)
+    got = token_store.read_sums(spark, out, 2).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, None, 2, 5, 5, 5]
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(len(got))]
+    assert sorted(r.n_tokens for r in got) == [1, 1, 2, 2, 2, 3]
+    token_store.write_store(docs, by_at, queries.tokenizer_path(), queries.END_ID, order_col="at")
+    assert [r.doc_id for r in token_store.read_sums(spark, by_at, 2).orderBy("start").collect()] == [5, 5, 5, 2, None, None]
+
+
+@pytest.mark.parametrize("what", ["lost chunk", "other payload", "other recipe", "other manifest"])
+def test_a_damaged_store_is_told(spark, what):
+    docs = frame(spark, [(i, f"some words {i} " * 300) for i in range(4)], "doc_id long, text string")
+    whole, out = new_path(spark, "t"), new_path(spark, "t")
+    token_store.write_store(docs, whole, queries.tokenizer_path(), queries.END_ID)
+    chunks, recipes, manifest = (spark.read.parquet(f"{whole}/{x}") for x in ("chunks", "recipes", "manifest"))
+    if what == "lost chunk":
+        chunks = chunks.orderBy("digest").offset(1)
+    if what == "other payload":
+        chunks = chunks.withColumn("payload", F.concat(F.unhex(F.lit("0000")), F.expr("substring(payload, 3)")))
+    if what == "other recipe":
+        recipes = recipes.withColumn("digests", F.when(F.col("doc_id") == 2, F.reverse("digests")).otherwise(F.col("digests")))
+    if what == "other manifest":
+        manifest = manifest.withColumn("root", F.unhex(F.lit("00")))
+    for df, x in ((chunks, "chunks"), (recipes, "recipes"), (manifest, "manifest")):
+        df.write.parquet(f"{out}/{x}")
+    assert token_store.read_sums(spark, whole, 2).count() == 4
+    with pytest.raises(Exception, match="chunk|recipe|manifest"):
+        token_store.read_sums(spark, out, 2).collect()
+
+
+def test_op10_matches_whole_texts(spark):
+    """The registered query over the whole table, held against the tokenizers library on whole texts."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    want = [(d, s, len(i), zlib.crc32(np.array(i, "<u4").tobytes())) for d, s, i in plain_tokens(rows)]
+    assert sorted(tuple(r) for r in queries.op10_token_store(spark, "/root/testdata/sf0.01").collect()) == want
+
+
 def test_words_are_encoded_as_whole_texts():
     encoder = token_store.Encoder(queries.tokenizer_path(), 1, True)
     assert encoder.words.encode == encoder.piece
