@@ -9,7 +9,6 @@ writes; the last stage stores the documents' tokens in that order.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,18 +39,17 @@ def in_mixed_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return mixed.repartitionByRange("mix_at").sortWithinPartitions("mix_at").select(*docs.columns)
 
 
-def written_order(docs: DataFrame) -> DataFrame:
-    """`docs` with `_seq`, which grows with file number and row of the files it is read from, where it is read from files."""
-    try:
-        part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long")
-        return docs.withColumn("_seq", F.shiftleft(part, 33) + F.col("_metadata.row_index"))
-    except AnalysisException:
-        return docs
+def in_row_order(docs: DataFrame) -> DataFrame:
+    """`docs` with `row_order`, which grows with file and row of the table it is read from (or, of another, with partition and row)."""
+    if not docs.inputFiles():
+        return docs.withColumn("row_order", F.monotonically_increasing_id())
+    part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long")
+    return docs.withColumn("row_order", F.shiftleft(part, 33) + F.col("_metadata.row_index"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = new_path(spark, "tokens")
-    token_store.write_store(written_order(docs), out, tokenizer_path(), END_ID)
+    token_store.write_store(in_row_order(docs), out, tokenizer_path(), END_ID, order_col="row_order")
     return token_store.read_sums(spark, out, width=2)
 
 
