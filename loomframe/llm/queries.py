@@ -22,6 +22,17 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, i, md5(array_to_string(ws[i : i + 34], ' ')) AS h FROM d, LATERAL (SELECT unnest(range(1, len(ws) - 33)) AS i)),
+again AS (SELECT doc_id, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT doc_id, i + j AS i FROM again, range(35) AS r(j)),
+words AS (SELECT doc_id, i, ws[i] AS word FROM d, LATERAL (SELECT unnest(range(1, len(ws) + 1)) AS i)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids, texts, corpus = suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents"))
     told = texts.select("digest", F.col("n").alias("n_bytes"), "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -154,4 +165,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_formatting": op9_chat_formatting,
     "op10_token_store": op10_token_store,
 }
-SQL = {"op5_mixing_sources": OP5_SQL, "op8_url_filters": OP8_SQL, "op9_chat_formatting": OP9_SQL}
+SQL = {"op1_substring_dedup": OP1_SQL, "op5_mixing_sources": OP5_SQL, "op8_url_filters": OP8_SQL, "op9_chat_formatting": OP9_SQL}

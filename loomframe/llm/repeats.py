@@ -2,28 +2,30 @@
 
 1. Texts meet by digest; each distinct one is written once, bucketed by digest,
    with the number of its copies. Later steps move only narrow rows to it.
-2. Each text's segments (see `segments`) become rows (key, content hash, text,
+2. Each text's segments (see `segments`) become rows (key, content digest, text,
    place). Keys that occur once cannot hold a repeated window and go.
-3. Segments of equal key and content hash repeat whole. Of the others, those
+3. Segments of equal key and content repeat whole. Of the others, those
    that share a key with a different segment are cut out of their texts, one
    copy of each, and go to shards by key.
 4. Each shard builds its index and reports the windows that lie in two segments.
    A key with over `LARGE` different segments is a shard of its own. One with
    more than `dense` would be too large for that: its segments are cut to single
-   windows instead, which meet by a 128-bit hash.
+   windows instead, which meet by a 128-bit digest.
 5. The windows' places come together by text, and a last pass over the written
    texts removes what they cover.
 
-Equal content is told by 64-bit hashes within a 64-bit key (128 bits for single
-windows). Every group is pre-aggregated before it moves, and no step's tasks
+Equal content is told by BLAKE2b digests of its bytes, keyed anew for each run: 64
+bits within a 64-bit key, 128 bits for single windows; words, too, count as equal
+by their bytes. Every group is pre-aggregated before it moves, and no step's tasks
 hold more than a text, or a shard of about `shard_bytes`.
 """
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -46,28 +48,21 @@ class Alphabet:
     by_word: bool
     window: int
     k: int
+    secret: bytes = field(default_factory=lambda: os.urandom(16))
 
-    def split(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(symbols, starts, ends in bytes) of a whole text, worked on in pieces cut where no word is."""
-        raw = np.frombuffer(data, np.uint8)
+    def split(self, data: bytes) -> tuple[np.ndarray, bytes, np.ndarray, np.ndarray]:
+        """(symbols, body, their starts and ends in it) of a whole text; the body is the words joined by one space, or the bytes."""
         if not self.by_word:
-            at = np.arange(len(raw) + 1)
-            return sg.BYTE[raw], at[:-1], at[1:]
-        if len(raw) <= sg.PIECE:
-            return sg.word_symbols(raw)
-        starts, ends = sg.words(raw)
-        out, lo = np.zeros(len(starts), np.uint64), 0
-        while lo < len(starts):
-            hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + sg.PIECE, "right")))
-            if ends[lo] - starts[lo] > sg.PIECE:  # a word beyond a piece: hashed in parts
-                parts = [sg.sums(sg.BYTE[raw[a : min(a + sg.PIECE, ends[lo])]])[-1] for a in range(starts[lo], ends[lo], sg.PIECE)]
-                out[lo] = sg.mix(sg.sums(sg.mix(np.array(parts, np.uint64)))[-1:])[0]
-            else:
-                base = starts[lo]
-                c = sg.sums(sg.BYTE[raw[base : ends[hi - 1]]])
-                out[lo:hi] = sg.range_hash(c, starts[lo:hi] - base, ends[lo:hi] - base)
-            lo = hi
-        return out, starts, ends
+            at = np.arange(len(data) + 1)
+            return sg.BYTE[np.frombuffer(data, np.uint8)], data, at[:-1], at[1:]
+        found, known = data.split(), sg.word_digests(self.secret)
+        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
+        try:
+            symbols = np.fromiter(map(known.get, found), np.uint64, len(found))
+        except TypeError:  # some are not known
+            symbols = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
+        starts = np.concatenate([[0], ends + 1])[: len(ends)]
+        return symbols, b" ".join(found), starts, ends
 
     def pieces(self, symbols: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(joined symbols, text of each, place of each in its text) of up to PIECE symbols; long texts overlap by a window less one."""
@@ -130,11 +125,16 @@ def segment_rows(texts: DataFrame, alphabet: Alphabet) -> DataFrame:
         for batch in batches:
             tids, copies = batch.column(0).to_numpy(), (batch.column(1).to_numpy() >= LEAST_COPIES).astype(np.int64)
             for lo in range(0, len(tids), 200):
-                symbols = [alphabet.split(d)[0] for d in batch.column(2)[lo : lo + 200].to_pylist()]
-                for joined, which, where in alphabet.pieces(symbols):
-                    first, count, key, content = sg.segments(joined, which, alphabet.window, alphabet.k)
+                symbols, bodies, starts, ends = zip(*(alphabet.split(d) for d in batch.column(2)[lo : lo + 200].to_pylist()), strict=True)
+                for joined, which, where in alphabet.pieces(list(symbols)):
+                    first, count, key = sg.segments(joined, which, alphabet.window, alphabet.k)
                     text, shift = where[which[first]].T if len(first) else (first, first)
-                    columns = [key, content, tids[lo + text], place(first + shift, count, copies[lo + text])]
+                    first, content = first + shift, np.empty(len(first), np.int64)
+                    edge = np.flatnonzero(np.r_[True, text[1:] != text[:-1], True]) if len(text) else []
+                    for a, b in zip(edge[:-1], edge[1:], strict=True):  # a text's segments stand together
+                        t = text[a]
+                        content[a:b] = sg.digests(memoryview(bodies[t]), starts[t][first[a:b]], ends[t][first[a:b] + count[a:b] + alphabet.window - 2], alphabet.secret)[:, 0]
+                    columns = [key, content, tids[lo + text], place(first, count, copies[lo + text])]
                     yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["key", "content", "tid", "at"])
 
     return texts.select("tid", "copies", F.encode("text", "UTF-8")).mapInArrow(cut, "key long, content long, tid long, at long")
@@ -146,20 +146,17 @@ def cut_out(asked: DataFrame, alphabet: Alphabet) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, wanted in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                data = text.as_py()
-                symbols, starts, ends = alphabet.split(data)
+                _, body, starts, ends = alphabet.split(text.as_py())
                 rows = []
                 for w in wanted:
                     first, count = w["at"] >> 20, (w["at"] >> 1) & ((1 << 19) - 1)
-                    stop = first + count + alphabet.window - 1
+                    last = first + count + alphabet.window - 2
                     if not w["dense"]:
-                        payload = b" ".join(data[a:b] for a, b in zip(starts[first:stop].tolist(), ends[first:stop].tolist(), strict=True)) if alphabet.by_word else data[first:stop]
-                        rows.append((w["key"], w["n"], w["tid"], first, 0, 0, w["own"], payload))
+                        rows.append((w["key"], w["n"], w["tid"], first, 0, 0, w["own"], body[starts[first] : ends[last]]))
                     else:
-                        at, part = np.arange(count), symbols[first:stop]
-                        h1 = sg.range_hash(sg.sums(part), at, at + alphabet.window).view(np.int64)
-                        h2 = sg.range_hash(sg.sums(part, sg.UP2), at, at + alphabet.window, sg.DOWN2).view(np.int64)
-                        rows += [(w["key"], w["n"], w["tid"], first + i, int(a), int(b), w["own"], None) for i, a, b in zip(range(count), h1, h2, strict=True)]
+                        at = np.arange(first, first + count)
+                        told = sg.digests(memoryview(body), starts[at], ends[at + alphabet.window - 1], alphabet.secret, 16).tolist()
+                        rows += [(w["key"], w["n"], w["tid"], i, *h, w["own"], None) for i, h in zip(at.tolist(), told, strict=True)]
                 kinds = [pa.int64()] * 7 + [pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["key", "n", "tid", "first", "h1", "h2", "own", "payload"])
 
@@ -170,11 +167,13 @@ def spans(corpus: Corpus, alphabet: Alphabet, shard: Shard, shard_bytes: int = 1
     """(tid, first, count): runs of repeated windows.
 
     What a join takes from an aggregate is written first: a join that reads
-    shuffled rows on both sides can be split where one key has many.
+    shuffled rows on both sides can be split where one key has many. Rows that
+    such a join gives are dealt out by text before they are written, or the next
+    one would find a hot key's rows in one file.
     """
     rows = corpus.keep(segment_rows(corpus.texts, alphabet), "segments")
     often = corpus.keep(rows.groupBy("key").agg(F.sum(F.expr(WEIGHT)).alias("n")).filter(F.col("n") >= LEAST_COPIES).select("key"), "often")
-    met = corpus.keep(rows.join(often, "key"), "met")
+    met = corpus.keep(rows.join(often, "key").repartition("tid"), "met")
     kinds = corpus.keep(met.groupBy("key", "content").agg(F.sum(F.expr(WEIGHT)).alias("n"), F.min(F.struct("tid", "at")).alias("one")), "kinds")
     shared = corpus.keep(kinds.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "shared")
     whole = met.join(kinds.filter(F.col("n") >= LEAST_COPIES).select("key", "content"), ["key", "content"]).select("tid", F.expr(FIRST).alias("first"), F.expr(COUNT).alias("count"))

@@ -4,17 +4,21 @@ A window's minimizer is the k-gram in it of the smallest hash (the leftmost of
 equal ones), so equal windows have equal minimizers at equal places. A segment
 is a maximal run of windows with the same minimizer occurrence: at most
 window - k + 1 windows. Windows that occur twice always meet under one key, the
-minimizer's hash; all else about them is decided there.
+minimizer's hash; all else about them is decided there. Hashes here choose keys
+only: whether content is equal is told by keyed digests of its bytes.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+from hashlib import blake2b
+
 import numpy as np
 
 PIECE = 1 << 19  # symbols worked on at once; longer texts are cut with an overlap of a window
 M64 = (1 << 64) - 1
-#: An odd base, its inverse modulo 2^64, and a second base.
-BASE, BASE2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+#: An odd base.
+BASE = 0x9E3779B97F4A7C15
 POS = np.uint64((1 << 24) - 1)
 
 
@@ -25,7 +29,6 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 UP, DOWN = powers(BASE, PIECE + 1), powers(pow(BASE, -1, 1 << 64), PIECE + 1)
-UP2, DOWN2 = powers(BASE2, PIECE + 1), powers(pow(BASE2, -1, 1 << 64), PIECE + 1)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -38,29 +41,41 @@ def mix(h: np.ndarray) -> np.ndarray:
 BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
 
 
-def sums(symbols: np.ndarray, up: np.ndarray = UP) -> np.ndarray:
+def sums(symbols: np.ndarray) -> np.ndarray:
     out = np.zeros(len(symbols) + 1, np.uint64)
-    np.cumsum(symbols * up[: len(symbols)], out=out[1:])
+    np.cumsum(symbols * UP[: len(symbols)], out=out[1:])
     return out
 
 
-def range_hash(c: np.ndarray, starts: np.ndarray, ends: np.ndarray, down: np.ndarray = DOWN) -> np.ndarray:
+def range_hash(c: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Polynomial hashes of symbol ranges from the sums `c`, alike wherever a range lies."""
-    return mix((c[ends] - c[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return mix((c[ends] - c[starts]) * DOWN[starts] + (ends - starts).astype(np.uint64))
+
+
+class WordDigests(dict):
+    """Keyed 64-bit digests of words, by word; forgotten when there are too many."""
+
+    def __init__(self, key: bytes):
+        super().__init__()
+        self.key = key
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 1 << 19:
+            self.clear()
+        self[word] = h = int.from_bytes(blake2b(word, digest_size=8, key=self.key).digest(), "little")
+        return h
 
 
-def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of bytes other than ASCII white space."""
-    inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = (data != 32) & ((data < 9) | (data > 13))
-    edge = np.diff(inside)
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+@lru_cache(maxsize=2)
+def word_digests(key: bytes) -> WordDigests:
+    """One for each Python worker."""
+    return WordDigests(key)
 
 
-def word_symbols(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, starts, ends): a 64-bit hash for each word of up to PIECE bytes of `data`."""
-    starts, ends = words(data)
-    return range_hash(sums(BYTE[data]), starts, ends), starts, ends
+def digests(body: memoryview, starts: np.ndarray, ends: np.ndarray, key: bytes, size: int = 8) -> np.ndarray:
+    """Keyed digests of byte ranges, as rows of 64-bit numbers."""
+    told = [blake2b(body[a:b], digest_size=size, key=key).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return np.frombuffer(b"".join(told), np.int64).reshape(-1, size // 8)
 
 
 def window_minimum(x: np.ndarray, w: int) -> np.ndarray:
@@ -75,19 +90,19 @@ def window_minimum(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def segments(symbols: np.ndarray, doc: np.ndarray, window: int, k: int) -> tuple[np.ndarray, ...]:
-    """(first window, windows, key, content hash) of the segments of joined sequences; `doc` tells them apart."""
+    """(first window, windows, key) of the segments of joined sequences; `doc` tells them apart."""
     n = len(symbols)
     none = np.zeros(0, np.int64)
     if n < window:
-        return none, none, none, none
+        return none, none, none
     c = sums(symbols)
     grams = np.arange(n - k + 1)
     h = range_hash(c, grams, grams + k)
     low = window_minimum((h & ~POS) | grams.astype(np.uint64), window - k + 1)
     valid = np.flatnonzero(doc[: n - window + 1] == doc[window - 1 :])
     if not len(valid):
-        return none, none, none, none
+        return none, none, none
     at = (low[valid] & POS).astype(np.int64)
     new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (valid[1:] != valid[:-1] + 1)])
     first, count = valid[new], np.diff(np.append(new, len(valid)))
-    return first, count, h[at[new]].view(np.int64), range_hash(c, first, first + count + window - 1).view(np.int64)
+    return first, count, h[at[new]].view(np.int64)

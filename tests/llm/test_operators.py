@@ -307,7 +307,7 @@ def test_token_store_orders_nulls_repeats_and_columns(spark):
 
 @pytest.mark.parametrize("what", ["lost chunk", "other payload", "other recipe", "other manifest"])
 def test_a_damaged_store_is_told(spark, what):
-    docs = frame(spark, [(i, f"some words {i} " * 300) for i in range(4)], "doc_id long, text string")
+    docs = frame(spark, [(i, " ".join(f"w{i}x{j}" for j in range(900))) for i in range(4)], "doc_id long, text string")
     whole, out = new_path(spark, "t"), new_path(spark, "t")
     token_store.write_store(docs, whole, queries.tokenizer_path(), queries.END_ID)
     chunks, recipes, manifest = (spark.read.parquet(f"{whole}/{x}") for x in ("chunks", "recipes", "manifest"))

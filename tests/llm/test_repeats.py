@@ -5,13 +5,15 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomframe.llm import fm_index, repeats, segments, substring_dedup, suffix_array, suffix_dedup
+from loomframe.llm import fm_index, queries, repeats, segments, substring_dedup, suffix_array, suffix_dedup
 from loomframe.llm.repeats import Alphabet
 
+SF = "/root/testdata/sf0.001"
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -88,6 +90,43 @@ def test_dense_keys_and_pieces(spark, by_word, monkeypatch):
     assert len(small) > len(pieces) and keys(small) == keys(pieces)
 
 
+def doubled(n):
+    """Words of length 2^n that any polynomial hash modulo 2^64 takes as equal."""
+    a, b = b"a", b"b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a.decode(), b.decode()
+
+
+def test_words_that_collide_in_a_polynomial_hash(spark):
+    words = [f"w{i}" for i in range(34)]
+    texts = [" ".join([*words, x]) for x in doubled(11)]
+    assert rows(spark, substring_dedup.repeated_words, texts) == brute(texts, 35, True)
+    assert rows(spark, suffix_dedup.repeated_bytes, texts) == brute(texts, 200, False)
+
+
+def test_long_texts_and_words_end_to_end(spark):
+    rng = random.Random(9)
+    passage = " ".join(f"p{rng.randint(0, 9999)}" for _ in range(80))
+    long = [f"{' '.join(f'v{rng.randint(0, 99999)}' for _ in range(9000))} {passage} {'x' * 700_000} {passage}" for _ in range(2)]
+    assert rows(spark, substring_dedup.repeated_words, [*long, passage]) == brute([*long, passage], 35, True)
+    texts = [t[:60_000] + passage for t in long]
+    assert rows(spark, suffix_dedup.repeated_bytes, [*texts, passage]) == brute([*texts, passage], 200, False)
+
+
+@pytest.mark.parametrize("name,window,by_word", [("op1_substring_dedup", 35, True), ("op2_suffix_dedup", 200, False)])
+def test_registered_queries_match_brute_force(spark, name, window, by_word):
+    """Over the whole table, with the production parameters."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
+    got = sorted(tuple(r) for r in queries.QUERIES[name](spark, SF).collect())
+    want = [(d.doc_id, n, gone, sha) if by_word else (d.doc_id, n, gone, runs, sha) for d, (n, gone, runs, sha) in zip(docs, brute([d.text for d in docs], window, by_word), strict=True)]
+    assert got == want
+    if name in queries.SQL:
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+        assert sorted(con.execute(queries.SQL[name]).fetchall()) == want
+
+
 def test_empty_table(spark):
     assert rows(spark, substring_dedup.repeated_words, []) == []
     assert rows(spark, suffix_dedup.repeated_bytes, [None]) == [(0, 0, 0, hashlib.sha256(b"").hexdigest())]
