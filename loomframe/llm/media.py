@@ -1,15 +1,19 @@
 """Media columns: ISO base media containers written and walked without decoding payloads.
 
 `to_media` stores bytes as 8-bit samples: `ftyp`, one `mdat`, and a `moov` whose
-sample tables describe 64-byte access units in chunks. `read_media` walks the
+sample tables describe 64-byte access units in chunks. `read_tracks` walks the
 nested boxes of any such file (32- and 64-bit sizes, `stsz`, `stsc`, `stco` or
-`co64`, `stts`, `stss`) and yields codec, duration and keyframe byte ranges
-from the tables alone. Both work on one row at a time, inside Arrow batches.
+`co64`, `mdhd`, `stss`), each track by itself, and yields codec, duration and
+keyframe byte ranges from the tables alone. Nothing is allocated that the file
+does not hold: counts are held against the boxes, ranges against the file's end.
+Both work on one row at a time, inside Arrow batches.
 
 Defined results: null bytes are an empty payload, which is padded to one unit;
-a file without a `moov` or with broken tables has codec null, duration 0 and no
-ranges; equal bytes give equal files (no times, no random ids); other columns
-stay with the caller, which selects what it passes on.
+a track with broken tables (a box missing, a count or range beyond the file, a
+keyframe that is no sample) is left out; a file without a track has codec null,
+duration 0 and no ranges, as has one whose samples are in movie fragments, which
+are not read; equal bytes give equal files (no times, no random ids); other
+columns stay with the caller, which selects what it passes on.
 """
 
 from __future__ import annotations
@@ -20,13 +24,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UNIT, PER_CHUNK, RATE = 64, 256, 8000
-#: Boxes that hold boxes, and the sample entry of 8-bit unsigned samples.
-NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf"}
+#: Fixed value: the sample entry of 8-bit unsigned samples.
 CODEC = b"raw "
 MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
@@ -85,40 +89,68 @@ def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int,
         start += size
 
 
-def tables(data: memoryview, start: int, end: int, found: dict) -> dict:
-    for kind, at, to in boxes(data, start, end):
-        if kind in NESTED:
-            tables(data, at, to, found)
-        else:
-            found.setdefault(kind, (at, to))
-    return found
+class Broken(ValueError):
+    """Tables that do not describe samples of the file."""
+
+
+def inside(view: memoryview, span: tuple[int, int], kind: bytes) -> list[tuple[int, int]]:
+    return [(at, to) for k, at, to in boxes(view, *span) if k == kind]
+
+
+def numbers(view: memoryview, span: tuple[int, int], skip: int, n: int, kind: str = ">u4") -> np.ndarray:
+    """`n` numbers that start `skip` bytes into a box's body."""
+    if n < 0 or span[0] + skip + n * np.dtype(kind).itemsize > span[1]:
+        raise Broken("a table ends before its entries")
+    return np.frombuffer(view, kind, n, span[0] + skip).astype(np.int64)
+
+
+def read_track(view: memoryview, trak: tuple[int, int]) -> dict:
+    """codec, timescale, duration, n_samples, n_keyframes, merged keyframe ranges and the sample bytes' ranges of one track."""
+    mdia = inside(view, trak, b"mdia")[0]
+    stbl = inside(view, inside(view, mdia, b"minf")[0], b"stbl")[0]
+    table = {k: (at, to) for k, at, to in reversed(list(boxes(view, *stbl)))}
+    header = inside(view, mdia, b"mdhd")[0]
+    long = view[header[0]] == 1
+    scale, duration = (int(numbers(view, header, at, 1, kind)[0]) for at, kind in ([(20, ">u4"), (24, ">u8")] if long else [(12, ">u4"), (16, ">u4")]))
+    codec = numbers(view, table[b"stsd"], 12, 4, "u1").astype(np.uint8).tobytes().decode("latin-1")
+    fixed, n = numbers(view, table[b"stsz"], 4, 2).tolist()
+    if fixed * n > len(view):
+        raise Broken("more samples than bytes")
+    sizes = np.full(n, fixed, np.int64) if fixed else numbers(view, table[b"stsz"], 12, n)
+    where, kind = (b"co64", ">u8") if b"co64" in table else (b"stco", ">u4")
+    offsets = numbers(view, table[where], 8, int(numbers(view, table[where], 4, 1)[0]), kind)
+    runs = numbers(view, table[b"stsc"], 8, 3 * int(numbers(view, table[b"stsc"], 4, 1)[0])).reshape(-1, 3)
+    chunks = np.diff(np.append(runs[:, 0], len(offsets) + 1))
+    if n and (not len(runs) or runs[0, 0] != 1) or (chunks < 0).any() or sum(a * b for a, b in zip(chunks.tolist(), runs[:, 1].tolist(), strict=True)) != n:
+        raise Broken("the chunks do not hold the samples")
+    per_chunk = np.repeat(runs[:, 1], chunks)
+    used = per_chunk > 0
+    per_chunk, offsets = per_chunk[used], offsets[: len(per_chunk)][used]
+    before = np.cumsum(sizes) - sizes
+    first = np.cumsum(per_chunk) - per_chunk
+    starts = before - np.repeat(before[first], per_chunk) + np.repeat(offsets, per_chunk)
+    keys = numbers(view, table[b"stss"], 8, int(numbers(view, table[b"stss"], 4, 1)[0])) - 1 if b"stss" in table else np.arange(n)
+    if (starts < 0).any() or (starts + sizes > len(view)).any() or (keys < 0).any() or (keys >= n).any():
+        raise Broken("a sample or keyframe is not in the file")
+    return {"codec": codec, "timescale": scale, "duration": duration, "n_samples": n, "n_keyframes": len(keys), "ranges": merged(starts[keys], sizes[keys]), "samples": merged(starts, sizes)}
+
+
+def read_tracks(data: bytes) -> list[dict]:
+    """The sound tracks of a file, in its order; see `read_track`."""
+    view, out = memoryview(data), []
+    for moov in inside(view, (0, len(view)), b"moov"):
+        for trak in inside(view, moov, b"trak"):
+            try:
+                out.append(read_track(view, trak))
+            except (Broken, KeyError, IndexError):  # a box is missing, or too short for what it says
+                continue
+    return out
 
 
 def read_media(data: bytes) -> dict:
-    """codec, timescale, duration, n_samples, n_keyframes, merged keyframe ranges, and the sample bytes' ranges."""
-    view = memoryview(data)
+    """The first track, or what stands for none."""
     none = {"codec": None, "timescale": 0, "duration": 0, "n_samples": 0, "n_keyframes": 0, "ranges": [], "samples": []}
-    try:
-        found = tables(view, 0, len(data), {})
-        at = lambda kind: found[kind][0] + 4
-        ints = lambda pos, n, kind=">u4": np.frombuffer(view, kind, n, pos).astype(np.int64)
-        codec = bytes(view[at(b"stsd") + 8 : at(b"stsd") + 12]).decode("latin-1")
-        scale, duration = struct.unpack_from(">II" if view[found[b"mdhd"][0]] == 0 else ">IQ", view, at(b"mdhd") + (8 if view[found[b"mdhd"][0]] == 0 else 16))
-        fixed, n = struct.unpack_from(">II", view, at(b"stsz"))
-        sizes = np.full(n, fixed, np.int64) if fixed else ints(at(b"stsz") + 8, n)
-        wide = b"co64" in found
-        where = b"co64" if wide else b"stco"
-        chunks = struct.unpack_from(">I", view, at(where))[0]
-        offsets = ints(at(where) + 4, chunks, ">u8" if wide else ">u4")
-        runs = ints(at(b"stsc") + 4, 3 * struct.unpack_from(">I", view, at(b"stsc"))[0]).reshape(-1, 3)
-        per_chunk = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], chunks + 1)))
-        first = np.cumsum(per_chunk) - per_chunk
-        before = np.cumsum(sizes) - sizes
-        starts = before - np.repeat(before[first], per_chunk) + np.repeat(offsets, per_chunk)
-        keys = ints(at(b"stss") + 4, struct.unpack_from(">I", view, at(b"stss"))[0]) - 1 if b"stss" in found else np.arange(n)
-    except (KeyError, IndexError, ValueError, struct.error):
-        return none
-    return {"codec": codec, "timescale": scale, "duration": duration, "n_samples": int(n), "n_keyframes": len(keys), "ranges": merged(starts[keys], sizes[keys]), "samples": merged(starts, sizes)}
+    return next(iter(read_tracks(data)), none)
 
 
 def merged(starts: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
@@ -165,3 +197,15 @@ def features(media: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]], ["id", "n_bytes", *[f.split()[0] for f in FEATURES.split(", ")]])
 
     return media.select("id", "n_bytes", "media").mapInArrow(read, f"id long, n_bytes long, {FEATURES}")
+
+
+def tracks(media: DataFrame, id_col: str = "id", media_col: str = "media") -> DataFrame:
+    """One row for each sound track of each file: (id, track, codec, timescale, duration, n_samples, n_keyframes, keyframe_ranges)."""
+    schema = "codec string, timescale long, duration long, n_samples long, n_keyframes long, ranges array<struct<start:long,end:long>>"
+
+    @F.pandas_udf(f"array<struct<{schema}>>")
+    def read(files: pd.Series) -> pd.Series:
+        return pd.Series([[{**{k: v for k, v in t.items() if k != "samples"}, "ranges": [{"start": a, "end": b} for a, b in t["ranges"]]} for t in read_tracks(x or b"")] for x in files], dtype=object)
+
+    told = media.select(F.col(id_col).alias("id"), F.posexplode(read(media_col)).alias("track", "t"))
+    return told.select("id", "track", "t.*").withColumnRenamed("ranges", "keyframe_ranges")
