@@ -120,8 +120,8 @@ w(s, w) AS (VALUES ('src0', 0.10::DOUBLE), ('src1', 0.08::DOUBLE), ('src2', 0.08
 k AS (SELECT source AS s, row_number() OVER (ORDER BY source NULLS FIRST) AS i FROM documents GROUP BY source),
 have AS (SELECT k.s, k.i, w.w FROM k LEFT JOIN w ON k.s = w.s),
 want AS (SELECT s, i, coalesce(w, (1 - (SELECT sum(w) FROM have)) / (SELECT count(*) FROM have WHERE w IS NULL)) AS x FROM have),
-e AS (SELECT *, x / (SELECT sum(x) FROM want) * (1000 - (SELECT count(*) FROM want)) AS ex FROM want),
-o AS (SELECT *, 1 + CAST(floor(ex) AS BIGINT) AS q0, row_number() OVER (ORDER BY floor(ex) - ex, s NULLS FIRST) AS r FROM e),
+e AS (SELECT *, round(x / (SELECT sum(x) FROM want) * 1000, 9) AS ex FROM want),
+o AS (SELECT *, CAST(floor(ex) AS BIGINT) AS q0, row_number() OVER (ORDER BY floor(ex) - ex, s NULLS FIRST) AS r FROM e),
 q AS (SELECT s, i, q0 + CASE WHEN r <= 1000 - (SELECT sum(q0) FROM o) THEN 1 ELSE 0 END AS q FROM o),
 plan(slot, q, done, pick) AS (
   SELECT CAST(-1 AS BIGINT), list(CAST(q AS BIGINT) ORDER BY i), list(CAST(0 AS BIGINT)), CAST(0 AS BIGINT) FROM q
