@@ -1,7 +1,8 @@
 """URL filters: host-suffix and path-prefix expressions, joined on short hashes.
 
 Each URL becomes the few (host suffix, path prefix) expressions that some rule
-could have: as many host labels and path characters as the rules use. The
+could have: as many host labels and path characters as the rules use. Each
+different host and path is expanded once, without the rows' other columns. The
 expressions meet the rules in an equi-join on the first characters of their
 SHA-256; the full digest then confirms, and the longest confirmed rule decides.
 Only DataFrame functions run.
@@ -50,17 +51,24 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     labels, chars = sorted({r.labels for r in shape}), sorted({r.chars for r in shape})
     own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     host, path = split_url(F.col(url_col))
-    rows = pages.select(F.struct(*own).alias("row"), host.alias("host"), path.alias("path")).withColumn("at", F.monotonically_increasing_id())
+    rows = pages.select(F.struct(*own).alias("row"), host.alias("host"), path.alias("path"))
     if not shape:
         return rows.select("row.*", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     hosts = F.array_distinct(F.array(*[F.substring_index("host", ".", -n) for n in labels]))
     starts = [F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in chars]
     paths = F.array_distinct(F.filter(F.array(*starts), lambda p: p.isNotNull()))
     pairs = F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.struct(h.alias("h"), p.alias("p")))))
-    tried = rows.select("at", "row", "host", "path", F.explode_outer(pairs).alias("e")).withColumn("full", digest(F.col("e.h"), F.col("e.p")))
+    tried = rows.select("host", "path").distinct().select("host", "path", F.explode(pairs).alias("e")).withColumn("full", digest(F.col("e.h"), F.col("e.p")))
     keyed = rules.withColumn("rule_full", digest(F.col("rule_host"), F.col("rule_path")))
-    met = tried.join(keyed, F.substring("full", 1, short) == F.substring("rule_full", 1, short), "left")
-    fits = F.col("full") == F.col("rule_full")
-    rank = F.struct(F.length("rule_host") + F.length("rule_path"), F.length("rule_host"), F.col("verdict") == "block", F.concat("rule_host", "rule_path"), "verdict")
-    best = met.groupBy("at").agg(F.first("row").alias("row"), F.first("host").alias("host"), F.first("path").alias("path"), F.max(F.when(fits, rank)).alias("best"))
-    return best.select("row.*", "host", "path", F.col("best.col4").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    short_of = lambda full: F.substring(full, 1, short)
+    met = tried.join(keyed, short_of("full") == short_of("rule_full")).filter(F.col("full") == F.col("rule_full"))
+    rank = F.struct(
+        (F.length("rule_host") + F.length("rule_path")).alias("chars"),
+        F.length("rule_host").alias("host_chars"),
+        (F.col("verdict") == "block").alias("blocks"),
+        F.concat("rule_host", "rule_path").alias("rule"),
+        "verdict",
+    )
+    best = met.groupBy("host", "path").agg(F.max(rank).alias("best"))
+    told = rows.join(best, ["host", "path"], "left")
+    return told.select("row.*", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
