@@ -6,6 +6,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -123,6 +124,81 @@ def test_media_of_other_files(spark):
     assert media.features(media.stored(frame(spark, [], "doc_id long, text string"))).count() == 0
 
 
+def rebuilt(data, change):
+    """Boxes with the bodies of leaves changed by `change(kind, body)`, which gives a list of (kind, body)."""
+    out = b""
+    for kind, at, to in media.boxes(memoryview(data), 0, len(data)):
+        body = bytes(data[at:to])
+        nested = kind in (b"moov", b"trak", b"mdia", b"minf", b"stbl")
+        out += media.box(kind, rebuilt(body, change)) if nested else b"".join(media.box(k, b) for k, b in change(kind, body))
+    return out
+
+
+def test_two_tracks_are_read_apart(spark):
+    """The second track has 64-bit offsets and a table of keyframes; the first has neither."""
+    payload = media.padded(bytes(range(256)) * 70)
+    one = media.to_media(payload)
+
+    def second(kind, body):
+        if kind == b"stco":
+            offsets = np.frombuffer(body, ">u4")[2:]
+            wide = body[:8] + offsets.astype(">u8").tobytes()
+            return [(b"co64", wide), (b"stss", bytes(4) + np.array([2, 1, 5], ">u4").tobytes())]
+        return [(kind, body)]
+
+    moov = next((bytes(one[a:b]) for k, a, b in media.boxes(memoryview(one), 0, len(one)) if k == b"moov"))
+    parts = {k: bytes(moov[a:b]) for k, a, b in media.boxes(memoryview(moov), 0, len(moov))}
+    trak = media.box(b"trak", parts[b"trak"])
+    data = one[: one.rindex(b"moov") - 4] + media.box(b"moov", media.box(b"mvhd", parts[b"mvhd"]), trak, rebuilt(trak, second))
+    first, other = media.read_tracks(data)
+    assert (first["n_keyframes"], first["codec"], first["samples"]) == (len(payload) // 64, "raw ", other["samples"])
+    at = first["samples"][0][0]
+    assert other["n_keyframes"] == 2 and other["ranges"] == [(at, at + 64), (at + 256, at + 320)]
+    rows = media.tracks(frame(spark, [(1, bytearray(data)), (2, None)], "id long, media binary")).collect()
+    assert [(r.id, r.track, r.n_keyframes) for r in rows] == [(1, 0, len(payload) // 64), (1, 1, 2)]
+
+
+@pytest.mark.parametrize("kind,body", [
+    (b"stss", bytes(4) + np.array([1, 99999], ">u4").tobytes()),
+    (b"stss", bytes(4) + np.array([1, 0], ">u4").tobytes()),
+    (b"stsz", bytes(4) + np.array([64, 0xFFFFFFFF], ">u4").tobytes()),
+    (b"stsz", bytes(4) + np.array([0, 0xFFFFFFFF], ">u4").tobytes()),
+    (b"stsc", bytes(4) + np.array([1, 1, 0xFFFFFFFF, 1], ">u4").tobytes()),
+    (b"stsc", bytes(4) + np.array([2, 5, 1, 1, 1, 1, 1], ">u4").tobytes()),
+    (b"stco", bytes(4) + np.array([1, 0xFFFFFF00], ">u4").tobytes()),
+    (b"stco", bytes(4) + np.array([0xFFFFFFFF], ">u4").tobytes()),
+    (b"stsd", b""),
+    (b"mdhd", b"\1"),
+])
+def test_hostile_tables_give_no_track(kind, body):
+    data = media.to_media(bytes(640))
+    added = [(kind, body)] if kind != b"stss" else []
+    broken = rebuilt(data, lambda k, b: added if k == kind else [(k, b), (b"stss", body)] if kind == b"stss" and k == b"stsd" else [(k, b)])
+    assert media.read_media(broken)["codec"] is None
+
+
+def test_nested_boxes_without_end():
+    data = b""
+    for _ in range(5000):
+        data = media.box(b"moov", data)
+    assert media.read_tracks(data) == []
+
+
+def test_op4_matches_brute_force(spark):
+    """The registered query over the whole table against digests made here; very long and empty texts; clashing columns."""
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in queries.op4_media_columns(spark, SF).collect()}
+    assert set(got) == set(docs)
+    for d, raw in docs.items():
+        payload, stored, r = media.padded(raw), media.to_media(media.padded(raw)), got[d]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest())
+        assert payload in stored and r.feature == f"raw :8000:{len(payload)}:{len(payload) // 64}:{len(payload) // 64}:{stored.index(payload) if raw else 36}-{(stored.index(payload) if raw else 36) + len(payload)}"
+    rows = [(1, "x" * 3_000_000), (1, None), (None, "")]
+    told = media.features(media.stored(frame(spark, rows, "doc_id long, text string").withColumns({"id": F.lit(1), "media": F.lit(2), "codec": F.lit("c")}))).collect()
+    assert sorted((r.n_bytes, r.codec) for r in told) == [(0, "raw "), (0, "raw "), (3_000_000, "raw ")]
+
+
 # --- mixing
 
 def test_schedule_stays_within_a_block():
@@ -146,6 +222,27 @@ def test_mixing_keeps_all_rows(spark):
     assert mixing.mixed(docs.limit(0), {}).count() == 0
 
 
+@pytest.mark.parametrize("n,weights", [(20, {"s0": 0.5}), (400, {"s0": 0.5}), (2000, {"s0": 0.5, "s1": 0.1}), (3, {"s0": 0.6, "s1": 0.4}), (5, {}), (3, {"s0": 1e-5})])
+def test_shares_are_within_a_slot_of_their_targets(n, weights):
+    sources = [f"s{i}" for i in range(n)]
+    share, want = mixing.shares(sources, weights), mixing.targets(sources, weights)
+    cycle = sum(share.values())
+    for s in sources:
+        assert share[s] >= 1 and abs(share[s] - want[s] * cycle) < 1 + 1e-9
+    plan = mixing.schedule(share)
+    assert all(release <= slot < due for _, _, slot, release, due in plan) and len(plan) == cycle
+
+
+def test_mixing_of_many_sources_against_sql(spark, tmp_path):
+    path = tmp_path / "documents.parquet"
+    docs = frame(spark, [(i, f"src{i * 7919 % 400}") for i in range(9000)] + [(None, "src0"), (None, None), (7, "src0")], "doc_id long, source string")
+    docs.toPandas().astype({"doc_id": "Int64"}).to_parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}')")
+    want = Counter(con.execute(queries.OP5_SQL).fetchall())
+    assert Counter(tuple(r) for r in queries.op5_mixing_sources(spark, str(tmp_path)).collect()) == want
+
+
 # --- language
 
 def test_language_accuracy_held_out(spark):
@@ -165,6 +262,36 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in language_id.identified(odd, nothing).collect()} == {"und"}
 
 
+def test_calibration_is_inside_its_grid():
+    rng = np.random.default_rng(1)
+    labels = np.arange(300) % 4
+    told = 40 * np.eye(4)[labels] + rng.normal(size=(300, 4))
+    t = language_id.calibrated(told, labels)
+    assert 1 < t < 100 and abs(language_id.softmax(told / t).max(1).mean() - (1 - language_id.SMOOTH * 3 / 4)) < 0.02
+    assert language_id.expected_error(language_id.softmax(told / t), labels) < 0.1
+    assert language_id.calibrated(told[:, :1], labels * 0) == 1.0
+
+
+def test_language_letters_and_ties():
+    equal = language_id.Model(["aa", "bb"], np.zeros((language_id.BUCKETS, 2)), np.zeros(2), np.ones(language_id.BUCKETS), 1.0)
+    for text in (None, "", "½ ² ٣ 12", "\u0301 _ €", "\x00"):
+        assert equal.predict(text) == ("und", 0.0)
+    for text in ("a", "ª", "日", "ǅ 1"):
+        assert equal.predict(text) == ("aa", 0.5)
+
+
+def test_op6_matches_its_model_row_by_row(spark):
+    """The registered query over the whole table against a model fitted once more and asked text by text; other languages score low."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_id.fit(language_id.learning_rows(docs))
+    assert 0.05 < model.temperature and model.calibration_error < 0.1
+    got = {r.doc_id: r for r in queries.op6_language_id(spark, SF).collect()}
+    for r in docs.collect():
+        lang, score = model.predict(r.text)
+        assert (got[r.doc_id].lang_pred, round(got[r.doc_id].score, 6)) == (lang, round(score, 6)) and 0 <= score <= 1
+    assert model.predict("これは日本語の文章です。")[1] < 0.8
+
+
 # --- decontamination
 
 def test_leaks_match_brute_force(spark):
@@ -344,7 +471,6 @@ def test_words_are_encoded_as_whole_texts():
 
 
 def test_queries_against_sql(spark):
-    import duckdb
 
     db = duckdb.connect()
     for t in ("pages", "conversations"):
