@@ -24,11 +24,13 @@ import hashlib
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,9 +38,11 @@ from loomframe.llm.common import remove, written
 from loomframe.llm.ordering import running_sum
 
 WINDOW, LEAST, MOST, MASK, FAN = 8, 32, 4096, np.uint32(0xFF), 1024
-CACHED, LONGEST = 400_000, 48
-#: Words of Latin letters, with punctuation after them; characters that Python's split takes as white space and the tokenizers' patterns do not.
-PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u01bf]+)([.,;:!?]*)")
+CACHED, LONGEST = 300_000, 48
+#: Words of Latin letters; the punctuation that may stand after them; characters that Python's split takes as white space and the tokenizers' patterns do not.
+PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u01bf]+")
+SIMPLE = re.compile("[\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u01bf]*")
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 APART = re.compile("[\x1c-\x1f]")
 
 
@@ -47,9 +51,10 @@ class Encoder:
 
     A piece of Latin letters is then one token of its pre-tokenizer, and goes to
     the tokenizer's model at once (lower-cased, its bytes spelled as the
-    tokenizer spells them), with punctuation after it apart. The constructor
-    compares both ways on each of those letters, and keeps to the long one
-    unless they agree.
+    tokenizer spells them), and a run of ASCII marks after it is one by itself.
+    The constructor compares both ways on each of those letters and marks, and
+    keeps to the long one unless they agree. Texts of such letters and ASCII alone
+    are lower-cased first, as the tokenizer would.
     """
 
     def __init__(self, path: str, end_id: int, by_word: bool):
@@ -68,25 +73,25 @@ class Encoder:
         self.short = by_word
         if by_word:
             letters = [chr(c) for c in range(0x41, 0x1C0) if PLAIN.fullmatch(chr(c))]
-            tries = [w for c in letters for w in (f"{c}", f"a{c}o", f"{c}e.")]
+            tries = [w for c in letters for w in (f"{c}", f"a{c}o", f"{c}e.")] + [f"to{a}{b}" for a in MARKS for b in ("", *MARKS)]
             self.short = all(self.piece(w) == self.whole(w) for w in tries)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def piece(self, piece: str) -> bytes:
-        found = PLAIN.fullmatch(piece) if self.short else None
-        if not found:
+        stem = piece.rstrip(MARKS) if self.short else ""
+        if not stem or not PLAIN.fullmatch(stem):
             return self.whole(piece)
-        if found[2]:
-            return self.ids(found[1]) + self.ids(found[2])
-        word = piece.lower()
+        word = stem.lower()
+        if word != piece:
+            return self.ids(word) + (self.ids(piece[len(stem) :]) if len(stem) < len(piece) else b"")
         if not word.isascii():
             for c in set(word):
                 if ord(c) not in self.spelled:
                     self.spelled[ord(c)] = "".join(x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(c))
             word = word.translate(self.spelled)
-        return np.array([t.id for t in self.model.tokenize(word)], self.kind).tobytes()
+        return array("H" if self.kind == "<u2" else "I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def ids(self, piece: str) -> bytes:
         found = self.known.get(piece)
@@ -100,15 +105,32 @@ class Encoder:
                 self.known[piece] = found
         return found
 
-    def __call__(self, text: str | None) -> bytes:
-        text = text or ""
-        if not self.by_word or APART.search(text):
-            return self.whole(text) + self.end
-        pieces = text.split()
-        try:
-            return b"".join(map(self.known.get, pieces)) + self.end
-        except TypeError:  # some are not known
-            return b"".join(map(self.ids, pieces)) + self.end
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each with the end id, one after the other; where each text's end).
+
+        Words meet first: each different one of the texts is looked up or encoded once.
+        """
+        apart = [not self.by_word or bool(APART.search(t or "")) for t in texts]
+        lowered = ["" if own or not t else t.lower() if self.short and (t.isascii() or SIMPLE.fullmatch(t)) else t for t, own in zip(texts, apart, strict=True)]
+        lists = pc.utf8_split_whitespace(pa.array(lowered, pa.large_string()))
+        words = pc.dictionary_encode(lists.flatten())
+        known = [self.ids(w) if w else b"" for w in words.dictionary.to_pylist()]
+        ends = lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()
+        codes, at = words.indices.to_numpy(), np.arange(len(texts))
+        whole = np.flatnonzero(apart)
+        extra = [*(self.whole(texts[i] or "") for i in whole), self.end]
+        which = np.concatenate([len(known) + np.arange(len(whole)), np.full(len(at), len(known) + len(whole))])
+        text_of = np.concatenate([whole, at])
+        order = np.argsort(text_of, kind="stable")  # a text that is encoded whole stands before its end
+        codes = np.insert(codes.astype(np.int64), ends[text_of[order]], which[order])
+        known += extra
+        size = np.array([len(x) for x in known], np.int64) // np.dtype(self.kind).itemsize
+        flat, start = np.frombuffer(b"".join(known), self.kind), np.cumsum(size) - size
+        each = size[codes]
+        stop = np.cumsum(each)
+        ids = flat[np.repeat(start[codes] - (stop - each), each) + np.arange(stop[-1])]
+        per = np.cumsum(np.diff(ends, prepend=0) + 1 + np.array(apart, np.int64))
+        return ids, stop[per - 1]
 
 
 @lru_cache(maxsize=2)
@@ -151,10 +173,10 @@ def cuts(ids: np.ndarray, ends: np.ndarray) -> list[list[int]]:
     return out
 
 
-def chunk_lists(joined: bytes, ends: np.ndarray, kind: str) -> tuple[pa.Array, pa.Array]:
+def chunk_lists(ids: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, pa.Array]:
     """(Merkle roots, lists of chunks) of documents whose ids end at `ends`; payloads are not copied."""
-    width = np.dtype(kind).itemsize
-    stops = cuts(np.frombuffer(joined, kind), ends)
+    width, joined = ids.itemsize, ids.tobytes()
+    stops = cuts(ids, ends)
     last = np.array([x for mine in stops for x in mine], np.int64)
     first = np.concatenate([[0], last[:-1]]).astype(np.int64)[: len(last)]
     view = memoryview(joined)
@@ -167,19 +189,26 @@ def chunk_lists(joined: bytes, ends: np.ndarray, kind: str) -> tuple[pa.Array, p
     return roots, pa.ListArray.from_arrays(pa.array(per), chunks)
 
 
+def in_slices(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of about `most` bytes of a text column; a longer text is one by itself."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)
+    part = (np.cumsum(sizes) - sizes // 2) // most
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        if hi > lo:
+            yield batch.slice(lo, hi - lo)
+
+
 def encoded(docs: DataFrame, path: str, end_id: int, by_word: bool, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None) -> DataFrame:
     """(rid, doc_id, seq, n_tokens, root, chunks) of every row; rid tells rows apart, seq is `order_col` or null."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_ids = encoder(path, end_id, by_word)
-        width = np.dtype(to_ids.kind).itemsize
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                blobs = [to_ids(t) for t in part.column(3).to_pylist()]
-                sizes = np.array([len(b) // width for b in blobs], np.int64)
-                roots, chunks = chunk_lists(b"".join(blobs), np.cumsum(sizes), to_ids.kind)
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(sizes), roots, chunks], ["rid", "doc_id", "seq", "n_tokens", "root", "chunks"])
+            for part in in_slices(batch, 3):
+                ids, ends = to_ids(part.column(3).to_pylist())
+                roots, chunks = chunk_lists(ids, ends)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(np.diff(ends, prepend=0)), roots, chunks], ["rid", "doc_id", "seq", "n_tokens", "root", "chunks"])
 
     seq = F.col(order_col) if order_col else F.lit(None)
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), seq.cast("long").alias("seq"), F.col(text_col).alias("text"))

@@ -462,12 +462,15 @@ def test_op10_matches_whole_texts(spark):
 
 def test_words_are_encoded_as_whole_texts():
     encoder = token_store.Encoder(queries.tokenizer_path(), 1, True)
-    assert encoder.words.encode == encoder.piece
+    assert encoder.short
     rng = random.Random(4)
-    pool = [chr(c) for c in (*range(0x20, 0x250), 0x301, 0x3A3, 0x2028, 0x4E2D, 0x1F600)] + list("  \n\t.,'sdtm")
-    for _ in range(400):
-        text = "".join(rng.choices(pool, k=40))
-        assert encoder(text) == encoder.whole(text) + encoder.end
+    pool = [chr(c) for c in (*range(0, 0x250), 0x301, 0x3A3, 0x2028, 0x4E2D, 0x1F600)] + list("  \n\t.,'sdtm")
+    latin = [chr(c) for c in range(0x20, 0x1C0) if c < 0x7F or c > 0xBF] + list("     ''..,,") + ["'re", "n't ", " it's ", "<|endoftext|>", "$$$ ", "ÉÀ", "İ", "ŉ"]
+    texts = [None, "", " ", *("".join(rng.choices(p, k=40)) for p in (pool, latin) for _ in range(1500)), "a\x1cb", "ΑΣ ΣΑΣ", "word " * 5000]
+    ids, ends = encoder(texts)
+    assert len(ends) == len(texts) and ends[-1] == len(ids)
+    for text, got in zip(texts, np.split(ids, ends[:-1]), strict=True):
+        assert got.tobytes() == encoder.whole(text or "") + encoder.end, text
 
 
 def test_queries_against_sql(spark):
