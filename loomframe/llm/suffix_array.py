@@ -7,7 +7,7 @@ import numpy as np
 
 def names(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """(order, name of each, number of names) of integer keys."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)  # equal keys may come in any order
     sorted_keys = keys[order]
     name = np.empty(len(keys), np.int64)
     name[order] = np.r_[0, np.cumsum(sorted_keys[1:] != sorted_keys[:-1])]
@@ -45,7 +45,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     sampled = sample[order]
     sampled = sampled[sampled < n]
     key0 = (s[noughts] << width) | rank[noughts + 1]
-    zero = noughts[np.argsort(key0, kind="stable")]
+    zero = noughts[np.argsort(key0)]  # the ranks tell all apart
     in1, in2 = sampled[sampled % 3 == 1], sampled[sampled % 3 == 2]
     before = np.searchsorted((s[in1] << width) | rank[in1 + 1], (s[zero] << width) | rank[zero + 1])
     before += np.searchsorted(pack(s, in2, width, rank[in2 + 2]), pack(s, zero, width, rank[zero + 2]))
@@ -56,12 +56,17 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 
 
 def shared_prefixes(data: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
-    """For each place in `order` but the last: whether it and the next begin with the same `length` symbols."""
-    padded = np.append(data, np.full(length, -1))
+    """For each place in `order` but the last: whether it and the next begin with the same `length` symbols, of 0 to 256.
+
+    Seven symbols are compared at once, and the last seven of the prefix in the end.
+    """
+    step = min(7, length)
+    packed = np.zeros(max(len(data) - step + 1, 0), np.int64)
+    for j in range(step):
+        packed = (packed << 9) | data[j : j + len(packed)]
     open_ = np.flatnonzero(np.maximum(order[:-1], order[1:]) + length <= len(data))
-    for lo in range(0, length, 8):
-        for j in range(lo, min(lo + 8, length)):
-            open_ = open_[padded[order[open_] + j] == padded[order[open_ + 1] + j]]
+    for j in [*range(0, length - step, step), length - step]:
+        open_ = open_[packed[order[open_] + j] == packed[order[open_ + 1] + j]]
         if not len(open_):
             break
     out = np.zeros(max(len(order) - 1, 0), bool)
