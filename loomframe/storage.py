@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,11 @@ SHARED = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees; a temporary one only where the session names none (tests)."""
+    """The folder every executor sees; a temporary one where a local session (a test) names none."""
     base = spark.conf.get(SHARED, None) or spark.sparkContext.getConf().get(SHARED)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError(f"{SHARED} is not set: it must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="loomframe-")
         spark.conf.set(SHARED, base)
     return base.rstrip("/")
@@ -30,6 +33,22 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables written under one folder of the shared directory, which goes when what is made from them is written."""
+
+    def __init__(self, spark: SparkSession, what: str):
+        self.spark, self.folder, self.n = spark, new_path(spark, what), 0
+
+    def written(self, df: DataFrame, what: str) -> DataFrame:
+        self.n += 1
+        path = f"{self.folder}/{self.n}-{what}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        remove(self.spark, self.folder)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
