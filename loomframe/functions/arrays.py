@@ -59,19 +59,24 @@ def group_by(a: Column, key: Lambda) -> Column:
 
 
 def order_by(a: Column, key: Lambda, descending: bool = False) -> Column:
-    """Stable."""
-    rows = F.array_sort(F.transform(a, lambda x, i: F.struct((-key(x) if descending else key(x)).alias("k"), i.alias("i"), x.alias("x"))))
-    return F.transform(rows, lambda r: r["x"])
+    """Stable, by keys of any type that has an order."""
+    place = (lambda i: -i) if descending else (lambda i: i)
+    rows = F.array_sort(F.transform(a, lambda x, i: F.struct(key(x).alias("k"), place(i).alias("i"), x.alias("x"))))
+    return F.transform(F.reverse(rows) if descending else rows, lambda r: r["x"])
 
 
 def sort(a: Column) -> Column:
-    return F.array_sort(a)
+    """An error for a null element."""
+    return fail_if(F.exists(a, lambda x: x.isNull()), "sort: null element", F.array_sort(a))
 
 
 def distinct_by(a: Column, key: Lambda) -> Column:
-    """The first element of each key."""
-    keys = F.transform(a, key)
-    return F.filter(a, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+    """The first element of each key, by two sorts."""
+    rows = F.array_sort(F.transform(a, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x"))))
+    before = F.concat(F.array(F.lit(None)), F.slice(rows, F.lit(1), F.greatest(F.size(rows) - 1, F.lit(0))))
+    new = lambda r, b: F.when(b.isNull() | ~r["k"].eqNullSafe(b["k"]), F.struct(r["i"].alias("i"), r["x"].alias("x")))
+    firsts = F.filter(F.zip_with(rows, before, lambda r, b: F.when(r.isNotNull(), new(r, b))), lambda r: r.isNotNull())
+    return F.transform(F.array_sort(firsts), lambda r: r["x"])
 
 
 def unique(a: Column) -> Column:
@@ -130,6 +135,12 @@ def slice(a: Column, start: int, end: int) -> Column:  # noqa: A001
     return F.slice(a, s + 1, F.greatest(e - s, F.lit(0)))
 
 
+def arrays_slice(a: Column, start: int, end: int) -> Column:
+    """[start, end); a negative start is 0, a negative end leaves nothing."""
+    s, e = F.lit(start if start > 0 else 0), F.least(F.lit(end), F.size(a))
+    return F.slice(a, s + 1, F.greatest(e - s, F.lit(0)))
+
+
 def range_index(a: Column, start: int, end: int) -> Column:
     """start to end inclusive, downwards too; null where a bound is out of range."""
     n = F.size(a)
@@ -151,11 +162,12 @@ def safe(a: Column, i: int) -> Column:
 
 
 def first(a: Column) -> Column:
-    return F.get(a, F.lit(0))
+    """Null for an empty array; an error for null."""
+    return fail_if(a.isNull(), "first: null", F.get(a, F.lit(0)))
 
 
 def last(a: Column) -> Column:
-    return F.get(a, F.size(a) - 1)
+    return fail_if(a.isNull(), "last: null", F.get(a, F.size(a) - 1))
 
 
 def reverse(a: Column) -> Column:
@@ -256,14 +268,21 @@ def join_by(a: Column, separator: str) -> Column:
     return F.array_join(a.cast("array<string>"), separator, "null")
 
 
-def sum(a: Column) -> Column:  # noqa: A001
-    """0 for an empty array; an error for a null element."""
+def sum(a: Column, kind: str = "double") -> Column:  # noqa: A001
+    """0 for an empty array; an error for a null element.
+
+    `kind` is the type to add in: `bigint` and `decimal(p,s)` are exact, and an
+    error where the sum does not fit.
+    """
     bad = F.exists(a, lambda x: x.isNull())
-    return fail_if(bad, "sum: not a number", F.aggregate(F.transform(a, lambda x: x.cast("double")), F.lit(0.0), lambda s, x: s + x))
+    return fail_if(bad, "sum: not a number", F.aggregate(F.transform(a, lambda x: x.cast(kind)), F.lit(0).cast(kind), lambda s, x: (s + x).cast(kind)))
 
 
-def avg(a: Column) -> Column:
-    return fail_if(F.size(a) == 0, "avg: empty", sum(a) / F.when(F.size(a) > 0, F.size(a)))
+def avg(a: Column, kind: str = "double") -> Column:
+    """An error for an empty array; exact kinds are divided as decimals."""
+    total = sum(a, kind)
+    total = total if kind == "double" else total.cast("decimal(38,10)")
+    return fail_if(F.size(a) == 0, "avg: empty", total / F.when(F.size(a) > 0, F.size(a)))
 
 
 def max(a: Column) -> Column:  # noqa: A001

@@ -112,7 +112,9 @@ def or_else(tried: Column, other: Column) -> Column:
     return F.when(tried["success"], tried["result"]).otherwise(other)
 
 
-or_else_try = or_else
+def or_else_try(tried: Column, other: Column) -> Column:
+    """The first of two tries that succeeded, as a try: {success, result}."""
+    return F.when(tried["success"], tried).otherwise(other)
 
 
 def fail(message: str = "Error") -> Column:

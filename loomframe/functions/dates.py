@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,12 +12,14 @@ OFFSET = r"(Z|[+-]\d\d:\d\d)$"
 
 
 def offset(s: Column) -> Column:
-    return F.regexp_extract(s, OFFSET, 1)
+    """The zone as written at the end: Z, +hh:mm, -hh:mm or nothing."""
+    end = F.right(s, F.lit(6))
+    return F.when(F.endswith(s, F.lit("Z")), F.lit("Z")).when(end.like("+__:__") | end.like("-__:__"), end).otherwise(F.lit(""))
 
 
 def local(s: Column) -> Column:
-    """The date and time as written, without zone."""
-    return F.regexp_replace(F.regexp_replace(s, OFFSET, ""), "T", " ").cast("timestamp_ntz")
+    """The date and time as written; the cast leaves the zone out."""
+    return s.cast("timestamp_ntz")
 
 
 def instant(s: Column) -> Column:
@@ -62,7 +66,10 @@ def days_between(a: Column, b: Column) -> Column:
     return F.round((F.unix_micros(instant(a)) - F.unix_micros(instant(b))) / F.lit(86_400_000_000.0)).cast("long")
 
 
-def is_leap_year(year: Column) -> Column:
+def is_leap_year(when: Column) -> Column:
+    """Of a year, or of a date string."""
+    text = when.cast("string")
+    year = F.coalesce(text.try_cast("double").cast("int"), F.year(local(text)))
     return ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
 
 
@@ -84,7 +91,20 @@ def local_date_time(y: Column, m: Column, d: Column, h: Column, mi: Column, s: C
 
 
 def date_time(y: Column, m: Column, d: Column, h: Column, mi: Column, s: Column, zone: str = "Z") -> Column:
-    return F.concat(local_date_time(y, m, d, h, mi, s), F.lit(zone))
+    """`zone` is an offset, Z, or the name of a region, whose offset at that time is written."""
+    at = moment(y, m, d, h, mi, s)
+    return F.concat(F.date_format(at, ISO), offset_of(at, zone))
+
+
+def offset_of(at: Column, zone: str) -> Column:
+    """The offset text of a zone at a local time."""
+    if re.fullmatch(OFFSET[:-1], zone):
+        return F.lit(zone)
+    wall = at.cast("timestamp")
+    minutes = ((F.unix_micros(wall) - F.unix_micros(F.to_utc_timestamp(wall, zone))) / 60_000_000).cast("int")
+    size = F.abs(minutes)
+    text = F.format_string("%s%02d:%02d", F.when(minutes < 0, "-").otherwise("+"), (size / 60).cast("int"), size % 60)
+    return F.when(minutes == 0, F.lit("Z")).otherwise(text)
 
 
 def local_time(h: Column, mi: Column, s: Column) -> Column:
@@ -92,6 +112,9 @@ def local_time(h: Column, mi: Column, s: Column) -> Column:
 
 
 def time(h: Column, mi: Column, s: Column, zone: str = "Z") -> Column:
+    """`zone` is an offset or Z; a region has none without a date."""
+    if not re.fullmatch(OFFSET[:-1], zone):
+        raise ValueError(f"time: {zone} is no offset")
     return F.concat(local_time(h, mi, s), F.lit(zone))
 
 

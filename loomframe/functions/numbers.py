@@ -43,6 +43,17 @@ def int_pow(base: Column, exponent: Column) -> Column:
     return F.aggregate(F.array_repeat(base.cast("long"), exponent.cast("int")), F.lit(1).cast("long"), lambda x, y: x * y)
 
 
+def int_pow_of(base: Column, exponent: int) -> Column:
+    """The same for an exponent that is known: multiplied out by squaring, so that it stays in generated code."""
+    out, power, left = None, base.cast("long"), exponent
+    while left:
+        if left & 1:
+            out = power if out is None else out * power
+        left >>= 1
+        power = power * power if left else power
+    return F.lit(1).cast("long") if out is None else out
+
+
 def mod(a: Column, b: Column) -> Column:
     """With the dividend's sign; an error for 0."""
     return fail_if(b == 0, "mod: division by zero", a % F.when(b != 0, b))
@@ -72,8 +83,9 @@ def from_binary(s: Column) -> Column:
 
 
 def to_range(a: Column, b: Column) -> Column:
-    """Inclusive, downwards where a > b."""
-    return F.sequence(a, b)
+    """Inclusive, downwards where a > b, by steps of 1 from `a`, whole or not."""
+    steps = F.sequence(F.lit(0), F.floor(F.abs(b - a)).cast("int"))
+    return F.transform(steps, lambda i: F.when(a <= b, a + i).otherwise(a - i))
 
 
 def range_of(n: Column) -> Column:

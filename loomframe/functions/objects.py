@@ -49,16 +49,15 @@ def pluck(m: Column, f: Callable[[Column, Column, Column], Column]) -> Column:
 
 
 def merge(first: Column, *others: Column) -> Column:
-    """Later values win, at the key's first place; nulls are skipped."""
-    out = first
+    """Later values win, at the key's first place; nulls are skipped. Each map is named twice, however many there are."""
+    maps = [first, *others]
+    entries = F.flatten(F.filter(F.array(*[F.map_entries(m) for m in maps]), lambda e: e.isNotNull()))
+    some = first.isNotNull()
     for m in others:
-        k = F.array_union(F.map_keys(out), F.map_keys(m))
-        out = F.when(m.isNull(), out).when(out.isNull(), m).otherwise(merged(out, m, k))
-    return out
-
-
-def merged(a: Column, b: Column, k: Column) -> Column:
-    return F.map_from_arrays(k, F.transform(k, lambda x: F.when(F.map_contains_key(b, x), b[x]).otherwise(a[x])))
+        some = some | m.isNotNull()
+    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+    last = F.reverse(entries)
+    return F.when(some, F.map_from_arrays(keys, F.transform(keys, lambda k: F.get(F.filter(last, lambda e: e["key"] == k), F.lit(0))["value"])))
 
 
 update = concat = merge_with = merge

@@ -21,8 +21,9 @@ def env_var(name: str) -> Column:
     return F.lit(os.environ.get(name)).cast("string")
 
 
-def env_vars() -> Column:
-    pairs = [F.lit(x) for kv in sorted(os.environ.items()) for x in kv]
+def env_vars(*allowed: str) -> Column:
+    """The driver's variables of the allowed names: what a plan holds, its logs show."""
+    pairs = [F.lit(x) for name in sorted(set(allowed)) if name in os.environ for x in (name, os.environ[name])]
     return F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
 
 

@@ -91,13 +91,50 @@ def lower(s: Column) -> Column:
     return F.lower(s.cast("string"))
 
 
+def to_upper(s: Column) -> Column:
+    """As `upper`, but null is an error."""
+    return fail_if(s.isNull(), "toUpper: null", upper(s))
+
+
+def to_lower(s: Column) -> Column:
+    return fail_if(s.isNull(), "toLower: null", lower(s))
+
+
+def slice(s: Column, start: int, end: int) -> Column:  # noqa: A001
+    """[start, end) of the characters, negative bounds from the end, clamped."""
+    n = F.length(s)
+    a, b = (F.least(F.greatest(F.lit(i) if i >= 0 else n + i, F.lit(0)), n) for i in (start, end))
+    return F.substr(s, a + 1, F.greatest(b - a, F.lit(0)))
+
+
+def range_index(s: Column, start: int, end: int) -> Column:
+    """start to end inclusive, downwards too; null where a bound is out of range."""
+    n = F.length(s)
+    a, b = (F.lit(i) if i >= 0 else n + i for i in (start, end))
+    ok = (a >= 0) & (b >= 0) & (a < n) & (b < n)
+    part = F.substr(s, F.least(a, b) + 1, F.abs(b - a) + 1)
+    return F.when(ok & (a <= b), part).when(ok, F.reverse(part))
+
+
+def lines(s: Column) -> Column:
+    """The lines of a text, without their ends and without an empty last one."""
+    return F.split(F.regexp_replace(s, r"\r?\n\z", ""), r"\r?\n", -1)
+
+
+def unlines(a: Column) -> Column:
+    """Lines as text, each with its end."""
+    return F.concat(F.array_join(a, "\n", ""), F.when(F.size(a) > 0, "\n").otherwise(""))
+
+
 def to_base64(s: Column) -> Column:
     """One line, padded."""
     return F.regexp_replace(F.base64(F.encode(s, "UTF-8")), r"\s", "")
 
 
 def from_base64(s: Column) -> Column:
-    return F.decode(F.unbase64(s), "UTF-8")
+    """An error for text that is no base 64."""
+    data = F.try_to_binary(s, F.lit("base64"))
+    return fail_if(data.isNull() & s.isNotNull(), "fromBase64: invalid", F.decode(data, "UTF-8"))
 
 
 def to_hex(s: Column) -> Column:
@@ -105,7 +142,8 @@ def to_hex(s: Column) -> Column:
 
 
 def from_hex(s: Column) -> Column:
-    return F.decode(F.unhex(s), "UTF-8")
+    """An error for text that is no pairs of hex digits."""
+    return fail_if(~s.rlike("^([0-9A-Fa-f]{2})*$"), "fromHex: invalid", F.decode(F.unhex(s), "UTF-8"))
 
 
 def hashed(s: Column, algorithm: str) -> Column:
@@ -229,10 +267,23 @@ def find_regex(s: Column, pattern: str) -> Column:
     return F.aggregate(sizes, start, step, lambda x: x["out"])
 
 
+def regex(pattern: str, flags: str = "") -> str:
+    """A pattern with flags, for all functions that take one: i, m, s, u, x."""
+    if set(flags) - set("imsux"):
+        raise ValueError(f"regex: unknown flags {flags}")
+    return f"(?{flags}){pattern}" if flags else pattern
+
+
+def groups_of(pattern: str) -> int:
+    """Groups of a Java pattern: an opening bracket that is not escaped or in a class, and plain or named."""
+    bare = re.sub(r"\\Q.*?(?:\\E|$)|\\.|\[\^?\]?(?:\\.|[^\]\\])*\]", "", pattern, flags=re.S)
+    return len(re.findall(r"\((?!\?)|\(\?<(?![=!])", bare))
+
+
 def match(s: Column, pattern: str) -> Column:
     """[whole, group 1, ...] of a match of the full string, or an empty array."""
     full = rf"\A(?:{pattern})\z"
-    groups = [F.regexp_extract(s, full, i) for i in range(re.compile(pattern).groups + 1)]
+    groups = [F.regexp_extract(s, full, i) for i in range(groups_of(pattern) + 1)]
     return F.when(s.rlike(full), F.array(*groups)).when(s.isNotNull(), F.array().cast("array<string>"))
 
 
@@ -242,7 +293,7 @@ def matches(s: Column, pattern: str) -> Column:
 
 def scan(s: Column, pattern: str) -> Column:
     """[whole, group 1, ...] of every match."""
-    n = re.compile(pattern).groups + 1
+    n = groups_of(pattern) + 1
     each = [F.regexp_extract_all(s, F.lit(pattern), F.lit(i)) for i in range(n)]
     return F.transform(each[0], lambda _, i: F.array(*[F.get(g, i) for g in each]))
 

@@ -8,10 +8,12 @@ prefixes from one aggregate.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomframe.functions.strings import to_text
 from loomframe.storage import written
@@ -42,13 +44,25 @@ def with_index(df: DataFrame, order: Order, name: str = "index") -> DataFrame:
 
     Rows are range-partitioned, sorted and written with their (partition, row)
     numbers, so that no retry numbers them anew; only the partitions' counts,
-    one row each, are summed up and broadcast.
+    one row each, are summed up and broadcast. A column of that name is an error;
+    others may have any name.
     """
-    at = written(df.repartitionByRange(*names(order)).sortWithinPartitions(*names(order)).withColumn("_at", F.monotonically_increasing_id()), "indexed")
-    at = at.withColumn("_part", F.shiftright("_at", 33))
-    counts = at.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return at.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_at", "_before")
+    if name in df.columns:
+        raise ValueError(f"there is a column {name} already")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    keys = [F.col(f"row.`{c}`") for c in names(order)]
+    at = written(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id()), "indexed")
+    at = at.withColumn("part", F.shiftright("at", 33))
+    counts = at.groupBy("part").agg(F.count("*").alias("n"))
+    before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    index = F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    return at.join(F.broadcast(before), "part").select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns], index.alias(name))
+
+
+def placed(df: DataFrame, order: Order) -> tuple[DataFrame, str]:
+    """`df` with positions in a column of a new name."""
+    name = f"index_{uuid.uuid4().hex}"
+    return with_index(df, order, name), name
 
 
 def group_rows(df: DataFrame, key: Column, order: Order, *kept: str) -> DataFrame:
@@ -95,17 +109,22 @@ def distinct_by(df: DataFrame, keys: Sequence[str], order: Order) -> DataFrame:
 
 
 def max_by(df: DataFrame, key: Column, order: Order, by: Sequence[str] = ()) -> DataFrame:
-    """The first row of the greatest key, of all rows or of each group."""
-    return extreme(df, F.min_by, -key, order, by)
+    """The first row of the greatest key, of all rows or of each group; keys are numbers, strings, Booleans or dates."""
+    if isinstance(df.select(key).schema[0].dataType, T.NumericType):
+        return first_by(df, -key, order, by)
+    row, rest = F.struct(*df.columns), [F.col(c).alias(f"by{i}") for i, c in enumerate(by)]
+    firsts = df.filter(key.isNotNull()).groupBy(*rest, key.alias("key")).agg(F.min_by(row, F.struct(*names(order))).alias("best"))
+    best = firsts.groupBy(*[f"by{i}" for i in range(len(by))]).agg(F.max_by("best", "key").alias("best"))
+    return best.filter(F.col("best").isNotNull()).select("best.*")
 
 
 def min_by(df: DataFrame, key: Column, order: Order, by: Sequence[str] = ()) -> DataFrame:
-    return extreme(df, F.min_by, key, order, by)
+    return first_by(df, key, order, by)
 
 
-def extreme(df: DataFrame, pick: Callable[..., Column], key: Column, order: Order, by: Sequence[str]) -> DataFrame:
+def first_by(df: DataFrame, key: Column, order: Order, by: Sequence[str]) -> DataFrame:
     row = F.struct(*df.columns)
-    best = df.filter(key.isNotNull()).groupBy(*by).agg(pick(row, F.struct(key, *names(order))).alias("_best"))
+    best = df.filter(key.isNotNull()).groupBy(*by).agg(F.min_by(row, F.struct(key, *names(order))).alias("_best"))
     return best.filter(F.col("_best").isNotNull()).select("_best.*")
 
 
@@ -115,11 +134,13 @@ def take_rows(df: DataFrame, n: int, *keys: Column) -> DataFrame:
 
 
 def drop_rows(df: DataFrame, n: int, order: Order) -> DataFrame:
-    return with_index(df, order, "_index").filter(F.col("_index") >= n).drop("_index")
+    """All but the first n."""
+    return df.orderBy(*names(order)).offset(n) if n > 0 else df
 
 
 def slice_rows(df: DataFrame, start: int, end: int, order: Order) -> DataFrame:
-    return with_index(df, order, "_index").filter((F.col("_index") >= start) & (F.col("_index") < end)).drop("_index")
+    at, index = placed(df, order)
+    return at.filter((F.col(index) >= start) & (F.col(index) < end)).drop(index)
 
 
 def reversed_rows(df: DataFrame, *order: str) -> DataFrame:
@@ -176,14 +197,14 @@ def partition_rows(df: DataFrame, p: Column) -> tuple[DataFrame, DataFrame]:
 
 def divide_rows(df: DataFrame, n: int, order: Order, *kept: str) -> DataFrame:
     """(chunk, rows): n rows in order to a chunk."""
-    placed = with_index(df, order, "_index")
-    row = F.struct(F.col("_index"), *(kept or df.columns))
-    return placed.groupBy(F.floor(F.col("_index") / max(n, 1)).alias("chunk")).agg(F.transform(F.array_sort(F.collect_list(row)), lambda r: F.struct(*[r[c].alias(c) for c in (kept or df.columns)])).alias("rows"))
+    at, index = placed(df, order)
+    row = F.struct(F.col(index), *(kept or df.columns))
+    return at.groupBy(F.floor(F.col(index) / max(n, 1)).alias("chunk")).agg(F.transform(F.array_sort(F.collect_list(row)), lambda r: F.struct(*[r[c].alias(c) for c in (kept or df.columns)])).alias("rows"))
 
 
 def split_at(df: DataFrame, n: int, order: Order) -> tuple[DataFrame, DataFrame]:
-    placed = with_index(df, order, "_index")
-    return placed.filter(F.col("_index") < n).drop("_index"), placed.filter(F.col("_index") >= n).drop("_index")
+    at, index = placed(df, order)
+    return at.filter(F.col(index) < n).drop(index), at.filter(F.col(index) >= n).drop(index)
 
 
 def concat_rows(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -213,9 +234,9 @@ def common_rows(a: DataFrame, b: DataFrame, on: Sequence[str] | None = None) ->
 
 def zip_rows(a: DataFrame, b: DataFrame, order_a: Order, order_b: Order) -> DataFrame:
     """(index, l, r) of the rows at equal positions, as many as the shorter has."""
-    x = with_index(a, order_a).select("index", F.struct(*a.columns).alias("l"))
-    y = with_index(b, order_b).select("index", F.struct(*b.columns).alias("r"))
-    return x.join(y, "index")
+    x, i = placed(a, order_a)
+    y, j = placed(b, order_b)
+    return x.select(F.col(i).alias("index"), F.struct(*a.columns).alias("l")).join(y.select(F.col(j).alias("index"), F.struct(*b.columns).alias("r")), "index")
 
 
 def packed(df: DataFrame, side: str, key: Callable[[DataFrame], Column]) -> DataFrame:

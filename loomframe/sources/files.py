@@ -107,10 +107,11 @@ TRUE_WORDS = ["true", "1", "y", "yes"]
 
 
 def flat_fields(line: Column, fields: Sequence[Mapping]) -> Column:
-    """A struct of a fixed-width line. Fields: name, length, and type (string, int, number, boolean), align, pad, trim."""
+    """A struct of a fixed-width line. Fields: name, length in bytes of UTF-8, and type (string, int, number, boolean), align, pad, trim."""
     total, at, out = sum(f["length"] for f in fields), 1, []
+    data = F.encode(line, "UTF-8")
     for f in fields:
-        raw, pad = F.substring(line, at, f["length"]), re.escape(f.get("pad", " "))
+        raw, pad = F.decode(F.substring(data, at, f["length"]), "UTF-8"), re.escape(f.get("pad", " "))
         at += f["length"]
         if f.get("trim", True):
             raw = F.regexp_replace(raw, f"^({pad})+" if f.get("align") == "right" else f"({pad})+$", "")
@@ -120,7 +121,7 @@ def flat_fields(line: Column, fields: Sequence[Mapping]) -> Column:
         elif kind == "boolean":
             raw = F.lower(F.trim(raw)).isin(*TRUE_WORDS)
         out.append(raw.alias(f["name"]))
-    return fail_if(F.length(line) != total, "flat file: wrong record length", F.struct(*out))
+    return fail_if(F.octet_length(line) != total, "flat file: wrong record length", F.struct(*out))
 
 
 def read_flat_file(spark: SparkSession, path: str, fields: Sequence[Mapping]) -> DataFrame:
@@ -128,12 +129,13 @@ def read_flat_file(spark: SparkSession, path: str, fields: Sequence[Mapping]) ->
 
 
 def flat_lines(df: DataFrame, fields: Sequence[Mapping]) -> DataFrame:
-    """(value): padded lines; a value that is too long is an error."""
+    """(value): lines padded to bytes, by a pad of one byte; a value that is too long is an error."""
     cells = []
     for f in fields:
         text = F.coalesce(F.regexp_replace(F.col(f["name"]).cast("string"), r"\.0$", "") if f.get("type") in ("int", "number") else F.col(f["name"]).cast("string"), F.lit(""))
-        padded = (F.lpad if f.get("align") == "right" else F.rpad)(text, f["length"], f.get("pad", " "))
-        cells.append(fail_if(F.length(text) > f["length"], f"flat file: {f['name']} is too long", padded))
+        fill = F.repeat(F.lit(f.get("pad", " ")), F.lit(f["length"]) - F.octet_length(text))
+        padded = F.concat(fill, text) if f.get("align") == "right" else F.concat(text, fill)
+        cells.append(fail_if(F.octet_length(text) > f["length"], f"flat file: {f['name']} is too long", padded))
     return df.select(F.concat(*cells).alias("value"))
 
 

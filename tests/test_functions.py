@@ -78,7 +78,7 @@ def test_runtime(spark, monkeypatch):
     from loomframe.functions import runtime
 
     monkeypatch.setenv("LOOM_X", "1")
-    row = spark.range(1).select(runtime.env_var("LOOM_X").alias("a"), runtime.env_vars()["LOOM_X"].alias("b"), runtime.compatibility_flag("strictTypeChecking").alias("c"), runtime.compatibility_flag("x").alias("d")).first()
+    row = spark.range(1).select(runtime.env_var("LOOM_X").alias("a"), runtime.env_vars("LOOM_X", "LOOM_NOT_SET")["LOOM_X"].alias("b"), runtime.compatibility_flag("strictTypeChecking").alias("c"), runtime.compatibility_flag("x").alias("d")).first()
     assert tuple(row) == ("1", "1", False, None)
     df, seen = runtime.logged(spark.range(5), n=F.count("*"))
     df.collect()
