@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomframe.plans.registry import plan
 from loomframe.sources import documents as DOC
 from loomframe.sources import files as FI
+from loomframe.storage import new_path
 
 
 @plan("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, '{\"event_id\":' || event_id || ',\"k\":' || json_extract_string(props, '$.k') || '}' AS value FROM events")
@@ -36,12 +37,12 @@ def form_read_write(t):
     return t("nation").select("n_nationkey", back["name"][0].alias("name"), F.array_join(back["tags"], "|").alias("tags"))
 
 
-FIELDS = [{"name": "id", "length": 8, "type": "int", "align": "right", "pad": "0"}, {"name": "name", "length": 30}, {"name": "rich", "length": 5, "type": "boolean"}]
+FIELDS = [{"name": "id", "length": 8, "type": "int", "align": "right", "pad": "0"}, {"name": "name", "length": 34}, {"name": "rich", "length": 5, "type": "boolean"}]
 
 
-@plan("SELECT c_custkey::DOUBLE AS id, c_name AS name, c_acctbal > 5000 AS rich, lpad(CAST(c_custkey AS VARCHAR), 8, '0') || rpad(c_name, 30, ' ') || rpad(CAST(c_acctbal > 5000 AS VARCHAR), 5, ' ') AS line FROM customer")
+@plan("SELECT c_custkey::DOUBLE AS id, 'é' || c_name || 'ü' AS name, c_acctbal > 5000 AS rich, lpad(CAST(c_custkey AS VARCHAR), 8, '0') || rpad('é' || c_name || 'ü', 32, ' ') || rpad(CAST(c_acctbal > 5000 AS VARCHAR), 5, ' ') AS line FROM customer")
 def flat_file_read_write(t):
-    rows = t("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), (F.col("c_acctbal") > 5000).alias("rich"))
+    rows = t("customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("é"), "c_name", F.lit("ü")).alias("name"), (F.col("c_acctbal") > 5000).alias("rich"))
     return FI.flat_lines(rows, FIELDS).select(FI.flat_fields(F.col("value"), FIELDS).alias("r"), F.col("value").alias("line")).select("r.*", "line")
 
 
@@ -97,3 +98,76 @@ def protobuf_read_write(t):
     return d.select(r).select("r.id", "r.name", F.array_join(F.col("r.delta").cast("array<string>"), ",").alias("delta"), "r.price", F.col("r.inner.ok").alias("ok"), F.col("r.tags")["brand"].alias("brand"))
 
 
+
+
+def folder(df, what):
+    return new_path(df.sparkSession, what)
+
+
+@plan("SELECT event_id, nullif(user_id, 5) AS user_id, event_type, props FROM events")
+def ndjson_files(t):
+    d = t("events").select("event_id", F.nullif("user_id", F.lit(5)).alias("user_id"), "event_type", "props")
+    path = folder(d, "ndjson")
+    FI.write_ndjson(d, path)
+    return FI.read_ndjson(d.sparkSession, path, d.schema)
+
+
+@plan("SELECT n_nationkey, n_name FROM nation")
+def json_files(t):
+    """A document with a list of objects, over many lines."""
+    d = t("nation").select("n_nationkey", "n_name")
+    path = folder(d, "json")
+    rows = FI.json_rows(d).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("value"), ",\n"), F.lit("\n]")).alias("value"))
+    FI.write_text(rows, "value", path)
+    return FI.read_json(d.sparkSession, path, d.schema)
+
+
+@plan("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name || ', \"x\"' AS c_name, c_mktsegment FROM customer")
+def csv_files(t):
+    d = t("customer").select("c_custkey", F.concat("c_name", F.lit(', "x"')).alias("c_name"), "c_mktsegment")
+    path = folder(d, "csv")
+    FI.write_csv(d, path)
+    return FI.read_csv(d.sparkSession, path)
+
+
+@plan("SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name || ' <&>' AS name, CAST(s_nationkey AS VARCHAR) AS nation FROM supplier")
+def xml_files(t):
+    d = t("supplier").select(F.col("s_suppkey").alias("@id"), F.concat("s_name", F.lit(" <&>")).alias("name"), F.col("s_nationkey").alias("nation"))
+    path = folder(d, "xml")
+    FI.write_xml(d, path, "suppliers", "supplier")
+    return FI.read_xml(d.sparkSession, path, "supplier").select(F.col("@id").alias("id"), "name", "nation")
+
+
+@plan("SELECT p_name || '|é' AS line, count(*) AS n FROM part GROUP BY 1")
+def text_files(t):
+    d = t("part").select(F.concat("p_name", F.lit("|é")).alias("line"))
+    path = folder(d, "text")
+    FI.write_text(d, "line", path)
+    lines = FI.read_text(d.sparkSession, path).select(F.explode(F.split("value", "\n")).alias("line")).filter("line <> ''")
+    return lines.groupBy("line").agg(F.count("*").alias("n"))
+
+
+@plan("SELECT CAST(sum(octet_length(encode(p_name)) + 1) AS BIGINT) AS bytes, count(*) AS lines FROM part")
+def binary_files(t):
+    d = t("part").select("p_name")
+    path = folder(d, "binary")
+    FI.write_text(d, "p_name", path)
+    data = FI.read_binary(d.sparkSession, f"{path}/part-*")
+    ends = F.size(F.split(F.decode("content", "UTF-8"), "\n")) - 1
+    return data.agg(F.sum(F.octet_length("content")).cast("long").alias("bytes"), F.sum(ends).cast("long").alias("lines"))
+
+
+@plan("SELECT c_custkey::DOUBLE AS id, 'é' || c_name || 'ü' AS name, c_acctbal > 5000 AS rich FROM customer")
+def flat_files(t):
+    rows = t("customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("é"), "c_name", F.lit("ü")).alias("name"), (F.col("c_acctbal") > 5000).alias("rich"))
+    path = folder(rows, "flat")
+    FI.write_text(FI.flat_lines(rows, FIELDS), "value", path)
+    return FI.read_flat_file(rows.sparkSession, path, FIELDS)
+
+
+@plan("SELECT * FROM orders")
+def parquet_files(t):
+    d = t("orders")
+    path = folder(d, "parquet")
+    d.write.parquet(path)
+    return FI.read_parquet(d.sparkSession, path)

@@ -10,6 +10,7 @@ from loomframe.functions import dates as D
 from loomframe.functions import numbers as N
 from loomframe.functions import objects as O
 from loomframe.functions import strings as S
+from loomframe.functions import runtime as X
 from loomframe.functions import urls as U
 from loomframe.plans.registry import plan
 
@@ -31,16 +32,16 @@ def strings_parts(t):
     return t("part").select("p_partkey", S.substring(c, 2, 6).alias("part"), S.char_at(c, 1).alias("ch"), S.char_code_at(c, 1).alias("code"), S.from_char_code(64 + F.col("p_partkey") % 26 + 1).alias("made"), S.index_of(c, "e").alias("at"), S.last_index_of(c, "e").alias("last_at"), text(S.split(c, " "), "|").alias("words"))
 
 
-@plan("""SELECT doc_id, md5(text) AS m, sha1(text) AS s1, sha256(text) AS s256, base64(encode(text)) AS b, lower(hex(encode(text[1:20]))) AS h FROM documents""")
+@plan("""SELECT doc_id, md5(text) AS m, sha1(text) AS s1, sha256(text) AS s256, base64(encode(text)) AS b, lower(hex(encode(text))) AS h FROM documents""")
 def strings_hash_encode(t):
     c = F.col("text")
-    return t("documents").select("doc_id", S.hashed(c, "MD5").alias("m"), S.hashed(c, "SHA-1").alias("s1"), S.hashed(c, "sha_256").alias("s256"), S.to_base64(c).alias("b"), S.to_hex(F.substring(c, 1, 20)).alias("h"))
+    return t("documents").select("doc_id", S.hashed(c, "MD5").alias("m"), S.hashed(c, "SHA-1").alias("s1"), S.hashed(c, "sha_256").alias("s256"), S.to_base64(c).alias("b"), S.to_hex(c).alias("h"))
 
 
-@plan("SELECT doc_id, text AS b, text[1:30] AS h FROM documents")
+@plan("SELECT doc_id, text AS b, text AS h FROM documents")
 def strings_decode(t):
     c = F.col("text")
-    return t("documents").select("doc_id", S.from_base64(S.to_base64(c)).alias("b"), S.from_hex(S.to_hex(F.substring(c, 1, 30))).alias("h"))
+    return t("documents").select("doc_id", S.from_base64(S.to_base64(c)).alias("b"), S.from_hex(S.to_hex(c)).alias("h"))
 
 
 @plan("""SELECT c_custkey, CASE WHEN ends_with(c_name, '9') THEN c_name ELSE c_name || '9' END AS app, CASE WHEN starts_with(c_name, 'Customer') THEN c_name ELSE 'Customer' || c_name END AS pre,
@@ -80,7 +81,7 @@ def strings_plurals(t):
 CAST(pow(l_linenumber, 3) AS BIGINT) AS cube, round(sqrt(l_extendedprice), 6) AS root, l_extendedprice = floor(l_extendedprice) AS whole FROM lineitem""")
 def numbers_scalar(t):
     p, k = F.col("l_extendedprice"), F.col("l_linenumber")
-    return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", N.ceil(p).cast("long").alias("up"), N.floor(p).cast("long").alias("down"), N.round(p).alias("near"), N.abs(k - 4).alias("dist"), N.mod(F.col("l_orderkey"), F.lit(7)).alias("rest"), N.is_even(k).alias("even"), N.is_odd(k).alias("odd"), N.int_pow(k, F.lit(3)).alias("cube"), F.round(N.sqrt(p), 6).alias("root"), N.is_integer(p).alias("whole"))
+    return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", N.ceil(p).cast("long").alias("up"), N.floor(p).cast("long").alias("down"), N.round(p).alias("near"), N.abs(k - 4).alias("dist"), N.mod(F.col("l_orderkey"), F.lit(7)).alias("rest"), N.is_even(k).alias("even"), N.is_odd(k).alias("odd"), N.int_pow_of(k, 3).alias("cube"), F.round(N.sqrt(p), 6).alias("root"), N.is_integer(p).alias("whole"))
 
 
 @plan("SELECT o_orderkey, to_base(o_orderkey, 16) AS hexed, to_base(o_orderkey, 2) AS bits, o_orderkey AS back, -o_orderkey AS minus, true AS is_dec, false AS int_dec FROM orders")
@@ -89,10 +90,10 @@ def numbers_radix(t):
     return t("orders").select("o_orderkey", N.to_radix(k, 16).alias("hexed"), N.to_binary(k).alias("bits"), N.from_radix(N.to_radix(k, 36), 36).alias("back"), N.from_binary(N.to_binary(-k)).alias("minus"), N.is_decimal(F.col("o_totalprice")).alias("is_dec"), N.is_decimal(k).alias("int_dec"))
 
 
-@plan("""SELECT n_nationkey, list_aggregate(range(0, n_nationkey), 'string_agg', ',') AS below, list_aggregate(range(n_nationkey, 9, -1), 'string_agg', ',') AS down FROM nation WHERE n_nationkey > 9""")
+@plan("""SELECT n_nationkey, coalesce(list_aggregate(range(0, n_nationkey), 'string_agg', ','), '') AS below, list_aggregate(CASE WHEN n_nationkey < 10 THEN range(n_nationkey, 11) ELSE range(n_nationkey, 9, -1) END, 'string_agg', ',') AS down FROM nation""")
 def numbers_ranges(t):
     k = F.col("n_nationkey")
-    return t("nation").filter("n_nationkey > 9").select("n_nationkey", text(N.range_of(k)).alias("below"), text(N.to_range(k, F.lit(10))).alias("down"))
+    return t("nation").select("n_nationkey", text(N.range_of(k)).alias("below"), text(N.to_range(k, F.lit(10))).alias("down"))
 
 
 VEC = "embedding"
@@ -108,14 +109,14 @@ def arrays_aggregate(t):
     )
 
 
-WORDS = "list_filter(string_split(text[1:200], ' '), lambda w: w <> '')"
+WORDS = "list_filter(string_split(text, ' '), lambda w: w <> '')"
 
 
 @plan(f"""WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents)
 SELECT doc_id, array_to_string(w[1:3], ',') AS head, array_to_string(w[4:], ',') AS tail, array_to_string(w[3:5], ',') AS mid, array_to_string(list_reverse(w), ',') AS back, array_to_string(w[-2:], ',') AS last2,
 array_to_string(list_filter(w, lambda x: length(x) > 4), ',') AS long, array_to_string(list_transform(w, lambda x, i: (i - 1) || x), ',') AS numbered FROM d""")
 def arrays_slices(t):
-    d = t("documents").select("doc_id", A.filter(S.split(F.substring("text", 1, 200), " "), lambda w: w != "").alias("w"))
+    d = t("documents").select("doc_id", A.filter(S.split(F.col("text"), " "), lambda w: w != "").alias("w"))
     w = F.col("w")
     return d.select("doc_id", text(A.take(w, 3)).alias("head"), text(A.drop(w, 3)).alias("tail"), text(A.slice(w, 2, 5)).alias("mid"), text(A.reverse(w)).alias("back"), text(A.slice(w, -2, 100000)).alias("last2"), text(A.filter(w, lambda x: F.length(x) > 4)).alias("long"), text(A.map(w, lambda x, i: F.concat(i.cast("string"), x))).alias("numbered"))
 
@@ -125,7 +126,7 @@ u AS (SELECT doc_id, w, list_filter(w, lambda x, i: list_position(w, x) = i) AS
 SELECT doc_id, array_to_string(uniq, ',') AS uniq, array_to_string(by_len, ',') AS by_len, array_to_string(list_sort(w), ',') AS sorted, coalesce(list_position(w, 'the'), 0) - 1 AS at, list_contains(w, 'the') AS has,
 array_to_string(list_filter(w, lambda x: x <> 'the' AND x <> 'of'), ',') AS without, 'x,' || array_to_string(w, ',') AS pre, array_to_string(w, ',') || ',x' AS app FROM u""")
 def arrays_sets(t):
-    d = t("documents").select("doc_id", A.filter(S.split(F.substring("text", 1, 200), " "), lambda w: w != "").alias("w"))
+    d = t("documents").select("doc_id", A.filter(S.split(F.col("text"), " "), lambda w: w != "").alias("w"))
     w = F.col("w")
     return d.select(
         "doc_id", text(A.unique(w)).alias("uniq"), text(A.distinct_by(w, lambda x: F.length(x))).alias("by_len"), text(A.sort(w)).alias("sorted"), A.index_of(w, F.lit("the")).alias("at"), A.contains(w, F.lit("the")).alias("has"),
@@ -139,7 +140,7 @@ g AS (SELECT doc_id, arg_min(x, i ORDER BY i) FILTER (length(x) = m) AS longest,
       FROM (SELECT *, max(length(x)) OVER (PARTITION BY doc_id) AS m FROM e) GROUP BY doc_id)
 SELECT doc_id, longest, by_length, chars::BIGINT AS chars, prefix FROM g""")
 def arrays_order(t):
-    d = t("documents").select("doc_id", A.filter(S.split(F.substring("text", 1, 200), " "), lambda w: w != "").alias("w")).filter(F.size("w") > 0)
+    d = t("documents").select("doc_id", A.filter(S.split(F.col("text"), " "), lambda w: w != "").alias("w")).filter(F.size("w") > 0)
     w = F.col("w")
     return d.select("doc_id", A.max_by(w, lambda x: F.length(x)).alias("longest"), text(A.order_by(w, lambda x: F.length(x))).alias("by_length"), A.reduce(w, lambda x, acc: acc + F.length(x), F.lit(0).cast("long")).alias("chars"), F.size(A.take_while(w, lambda x: F.length(x) <= 5)).cast("long").alias("prefix"))
 
@@ -233,3 +234,87 @@ def urls_parse(t):
 def urls_encode(t):
     s = F.concat("n_name", F.lit(" é/ü?"))
     return t("nation").select("n_nationkey", U.encode_uri_component(s).alias("component"), U.decode_uri_component(U.encode_uri_component(s)).alias("back"))
+
+
+@plan("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)
+SELECT vec_id, v[3] AS third, v[-2] AS but_last, array_to_string(list_transform(v[2:4], lambda x: round(x * 1000)::BIGINT), ',') AS part, array_to_string(list_reverse(list_transform(v[1:3], lambda x: round(x * 1000)::BIGINT)), ',') AS down, v[1] IS NULL AS out_of_range,
+len(list_filter(v, lambda x: x > 0.1)) AS above, len(v) = 0 AS empty, array_to_string(list_transform(v[1:2], lambda x: round(x * 1000)::BIGINT), ',') AS clamped, 0 AS nothing FROM e""")
+def arrays_selectors(t):
+    v, whole = F.col("v"), lambda a: text(F.transform(a, lambda x: F.round(x * 1000).cast("long")))
+    d = t("embeddings").select("vec_id", F.col(VEC).cast("array<double>").alias("v"))
+    return d.select(
+        "vec_id", A.item(v, 2).alias("third"), A.item(v, -2).alias("but_last"), whole(A.range_index(v, 1, 3)).alias("part"), whole(A.range_index(v, 2, 0)).alias("down"), A.range_index(v, 0, 10**6).isNotNull().alias("out_of_range"),
+        F.coalesce(A.size_of(A.filter_selector(v, lambda x: x > 0.1)), F.lit(0)).alias("above"), A.is_empty(v).alias("empty"), whole(A.arrays_slice(v, -5, 2)).alias("clamped"), F.size(A.arrays_slice(v, 0, -1)).alias("nothing"),
+    )
+
+
+@plan("SELECT vec_id, label + 9007199254740993 AS exact, label * 3 + 0.25 AS dec, array_to_string(list_transform(range(0, len(embedding)), lambda i: i), ',') AS back, 1.5::DOUBLE + label AS last_step FROM embeddings")
+def arrays_exact_sums(t):
+    big, label = F.lit(9007199254740993).cast("bigint"), F.col("label").cast("bigint")
+    dec = F.lit("0.25").cast("decimal(12,2)")
+    pairs = A.unzip(A.zip(F.sequence(F.lit(0), F.size(VEC) - 1), F.col(VEC)))
+    return t("embeddings").select(
+        "vec_id", A.sum(F.array(big, label), "bigint").alias("exact"), A.sum(F.array(label.cast("decimal(12,2)"), (label * 2).cast("decimal(12,2)"), dec), "decimal(20,2)").alias("dec"), text(pairs["l"]).alias("back"),
+        F.element_at(N.to_range(F.lit(1.5).cast("double"), F.lit(1.5).cast("double") + label), -1).alias("last_step"),
+    )
+
+
+@plan("""SELECT doc_id, array_to_string(list_reverse(list_sort(list_distinct(list_filter(string_split(lower(text), ' '), lambda w: w <> '')))), ' ') AS falling,
+len(list_distinct(list_transform(list_filter(string_split(text, ' '), lambda w: w <> ''), lambda w: length(w)))) AS lengths FROM documents""")
+def arrays_order_text(t):
+    w = A.filter(S.split(S.lower(F.col("text")), " "), lambda x: x != "")
+    return t("documents").select("doc_id", text(A.order_by(A.unique(w), lambda x: x, descending=True), " ").alias("falling"), F.size(A.distinct_by(A.filter(S.split(F.col("text"), " "), lambda x: x != ""), lambda x: F.length(x))).alias("lengths"))
+
+
+@plan(r"""SELECT p_partkey, upper(p_name) AS up, lower(p_brand) AS low, p_name[2:4] AS part, p_name[-3:] AS ending, reverse(p_name[1:3]) AS down, trim(p_name) = '' AS blank, regexp_matches(p_name, '(?i)[AEIOU]') AS vowel, len(regexp_extract_all(p_brand, '(?i)BRAND')) AS brands,
+regexp_extract(p_brand, '#([0-9]+)', 1) AS num, replace(p_name, ' ', chr(10)) AS told, len(string_split(p_name, ' ')) AS parts FROM part""")
+def strings_slices_flags(t):
+    c, b = F.col("p_name"), F.col("p_brand")
+    words = S.split(c, " ")
+    told = S.unlines(words)
+    return t("part").select(
+        "p_partkey", S.to_upper(c).alias("up"), S.to_lower(b).alias("low"), S.range_index(c, 1, 3).alias("part"), S.slice(c, -3, 1000).alias("ending"), S.range_index(c, 2, 0).alias("down"), S.is_blank(c).alias("blank"), S.contains_regex(c, S.regex("[AEIOU]", "i")).alias("vowel"),
+        F.size(S.scan(b, S.regex("BRAND", "i"))).alias("brands"), S.match(b, "(?<name>[A-Za-z]+)#(?<num>[0-9]+)")[2].alias("num"), A.join_by(S.lines(told), "\n").alias("told"), F.size(S.lines(told)).alias("parts"),
+    )
+
+
+@plan("""SELECT c_custkey, c_name AS name, c_mktsegment AS seg, c_name || ',' || c_mktsegment AS every, 2 AS size, 'Object' AS kind, c_name || '|' || c_mktsegment AS many, '{"@k":' || c_custkey || ',"#text":"' || c_name || '"}' AS tagged, '{"xsi:type":"Customer"}' AS typed, 'name,seg' AS names, c_name AS entry, false AS none FROM customer""")
+def objects_selectors(t):
+    d = t("customer").select("c_custkey", F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("seg")).alias("o"), "c_name", "c_mktsegment").withColumn("m", F.create_map(F.lit("name"), "c_name", F.lit("seg"), "c_mktsegment"))
+    m = F.col("m")
+    rows = F.array(F.struct(F.col("c_name").alias("x")), F.struct(F.col("c_mktsegment").alias("x")))
+    return d.select(
+        "c_custkey", O.required(m, "name").alias("name"), O.safe(O.filter_object(m, lambda v, k: k != "name"), "seg").alias("seg"), text(O.struct_values(d, "o")).alias("every"), O.metadata(d, "m", "size").alias("size"), O.metadata(d, "o", "class").alias("kind"),
+        text(O.multi_value(rows, "x"), "|").alias("many"), F.to_json(O.with_attributes(F.col("c_name"), k=F.col("c_custkey"))).alias("tagged"), F.to_json(O.xsi_type("Customer")).alias("typed"), text(O.keys(m)).alias("names"), O.object_to_array(m)[0]["value"].alias("entry"), O.is_empty(m).alias("none"),
+    )
+
+
+@plan("""SELECT o_orderkey, true AS is_string, true AS is_number, false AS is_null, o_orderstatus = 'O' AS open, contains(o_orderpriority, 'U') AS has_u, ends_with(o_orderpriority, 'T') AS ends, true AS not_null, o_totalprice < 100000 AS cheap, false AS blank, CASE WHEN o_orderstatus = 'O' THEN 'kept' ELSE 'other' END AS tried, true AS flag, 36 AS uuid_size FROM orders""")
+def control_more_matchers(t):
+    s, p, pr = F.col("o_orderstatus"), F.col("o_totalprice"), F.col("o_orderpriority")
+    guarded = F.when(s == "", C.fail("no status")).otherwise(s)
+    tried = C.or_else_try(C.attempt(F.when(guarded == "O", F.lit("kept"))), C.attempt(F.lit("other")))
+    return t("orders").select(
+        "o_orderkey", C.must(s, C.be_type("String")).alias("is_string"), C.must(p, C.be_type("Number")).alias("is_number"), C.must(s, C.be_null).alias("is_null"), C.must(s, C.equal_to("O")).alias("open"), C.must(pr, C.contain_str("U")).alias("has_u"), C.must(pr, C.end_with("T")).alias("ends"),
+        C.must(s, C.not_be_null).alias("not_null"), C.must(p, C.be_lower_than(100000)).alias("cheap"), C.must(pr, C.be_blank).alias("blank"), tried["result"].alias("tried"), X.compatibility_flag("allowUndefinedProperties").alias("flag"), F.length(C.uuid()).alias("uuid_size"),
+    )
+
+
+@plan("SELECT n_nationkey, true AS has_val, true AS has_key, true AS has_value, true AS empty, true AS inside, true AS whole, true AS ordered, true AS text_size, true AS unset FROM nation")
+def control_collections_random(t):
+    m, a = F.create_map(F.lit("k"), F.col("n_name")), F.array("n_nationkey")
+    day = D.today()
+    return t("nation").select(
+        "n_nationkey", C.must(F.array(F.lit(1), F.lit(2)), C.contain_val(2)).alias("has_val"), C.must(m, C.have_key("k")).alias("has_key"), C.must(F.create_map(F.lit("k"), F.lit("v")), C.have_value("v")).alias("has_value"), C.must(F.lit(""), C.be_empty).alias("empty"),
+        ((N.random() >= 0) & (N.random() < 1)).alias("inside"), N.random_int(7).isin(*range(7)).alias("whole"), ((D.yesterday() < day) & (day < D.tomorrow())).alias("ordered"), ((F.length(D.now()) == 27) & (A.index_of(a, F.col("n_nationkey")) == 0)).alias("text_size"), X.env_var("LOOMFRAME_NOT_SET").isNull().alias("unset"),
+    )
+
+
+@plan("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT12:00:00') || CASE WHEN o_orderdate::DATE >= d.a AND o_orderdate::DATE < d.b THEN '-04:00' ELSE '-05:00' END AS made,
+year(o_orderdate) % 4 = 0 AND (year(o_orderdate) % 100 <> 0 OR year(o_orderdate) % 400 = 0) AS leap, strftime(o_orderdate, '%Y-%m-%dT12:00:00Z') AS utc
+FROM orders, LATERAL (SELECT make_date(year(o_orderdate), 4, 1) + ((7 - dayofweek(make_date(year(o_orderdate), 4, 1))) % 7)::INT AS a, make_date(year(o_orderdate), 10, 31) - dayofweek(make_date(year(o_orderdate), 10, 31))::INT AS b) d""")
+def dates_zones(t):
+    """New York's summer time from the first Sunday of April to the last of October, as it was until 2006."""
+    at = F.col("o_orderdate")
+    parts = (F.year(at), F.month(at), F.day(at), F.lit(12), F.lit(0), F.lit(0))
+    return t("orders").select("o_orderkey", D.date_time(*parts, "America/New_York").alias("made"), D.is_leap_year(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("leap"), D.date_time(*parts, "UTC").alias("utc"))

@@ -53,9 +53,9 @@ def flat_map_words(t):
     return R.flat_map_rows(t("documents"), F.split("text", " ", -1), "word", "doc_id").filter("word <> ''")
 
 
-@plan("SELECT o_orderstatus AS key, count(*) AS n, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS orders FROM orders WHERE o_orderkey < 2000 GROUP BY 1")
+@plan("SELECT CAST(o_custkey AS VARCHAR) AS key, count(*) AS n, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS orders FROM orders GROUP BY 1")
 def group_by_rows(t):
-    grouped = R.group_rows(t("orders").filter("o_orderkey < 2000"), F.col("o_orderstatus"), "o_orderkey", "o_orderkey")
+    grouped = R.group_rows(t("orders"), F.col("o_custkey"), "o_orderkey", "o_orderkey")
     return grouped.select("key", F.size("rows").cast("long").alias("n"), F.array_join(F.transform("rows", lambda r: r["o_orderkey"].cast("string")), ",").alias("orders"))
 
 
@@ -182,14 +182,14 @@ def union_distinct(t):
     return R.union_rows(R.map_rows(t("supplier"), nation=F.col("s_nationkey")), R.map_rows(t("customer"), nation=F.col("c_nationkey")))
 
 
-@plan("SELECT c_nationkey AS nation FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey <= 20)")
+@plan("SELECT c_nationkey AS nation FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 0)")
 def remove_rows(t):
-    return R.remove_rows(R.map_rows(t("customer"), nation=F.col("c_nationkey")), R.map_rows(t("supplier").filter("s_suppkey <= 20"), nation=F.col("s_nationkey")))
+    return R.remove_rows(R.map_rows(t("customer"), nation=F.col("c_nationkey")), R.map_rows(t("supplier").filter("s_acctbal > 0"), nation=F.col("s_nationkey")))
 
 
-@plan("SELECT c_custkey, c_nationkey AS nation FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_suppkey <= 20)")
+@plan("SELECT c_custkey, c_nationkey AS nation FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)")
 def common_rows(t):
-    return R.common_rows(R.map_rows(t("customer"), c_custkey=F.col("c_custkey"), nation=F.col("c_nationkey")), R.map_rows(t("supplier").filter("s_suppkey <= 20"), nation=F.col("s_nationkey")), ["nation"])
+    return R.common_rows(R.map_rows(t("customer"), c_custkey=F.col("c_custkey"), nation=F.col("c_nationkey")), R.map_rows(t("supplier").filter("s_acctbal < 0"), nation=F.col("s_nationkey")), ["nation"])
 
 
 @plan("WITH a AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS i FROM supplier), b AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey DESC) AS i FROM customer) SELECT i - 1 AS index, s_suppkey, c_custkey FROM a JOIN b USING (i)")
@@ -208,15 +208,16 @@ def join_left(t):
     return R.join_rows(t("documents").select("doc_id"), t("labels"), lambda d: d["doc_id"], lambda d: d["doc_id"], "left").select("l.doc_id", "r.quality", "r.toxic")
 
 
-@plan("SELECT s_suppkey, n_name FROM (SELECT * FROM supplier WHERE s_nationkey < 12) FULL JOIN (SELECT * FROM nation WHERE n_nationkey > 8) ON s_nationkey = n_nationkey")
+@plan("SELECT s_suppkey, n_name FROM (SELECT *, s_nationkey + 9 AS k FROM supplier) FULL JOIN nation ON k = n_nationkey")
 def join_outer(t):
-    return R.join_rows(t("supplier").filter("s_nationkey < 12"), t("nation").filter("n_nationkey > 8"), lambda d: d["s_nationkey"], lambda d: d["n_nationkey"], "full").select("l.s_suppkey", "r.n_name")
+    return R.join_rows(t("supplier"), t("nation"), lambda d: d["s_nationkey"] + 9, lambda d: d["n_nationkey"], "full").select("l.s_suppkey", "r.n_name")
 
 
-@plan("SELECT a.s_suppkey AS a, b.c_custkey AS b FROM (SELECT *, nullif(s_nationkey % 3, 0) AS k FROM supplier) a JOIN (SELECT *, nullif(c_nationkey % 3, 0) AS k FROM customer WHERE c_custkey < 100) b ON a.k IS NOT DISTINCT FROM b.k AND a.s_suppkey <= 10")
+@plan("SELECT a.s_suppkey AS a, b.c_custkey AS b FROM (SELECT *, nullif(s_suppkey, 3) AS k FROM supplier) a JOIN (SELECT *, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey END AS k FROM customer) b ON a.k IS NOT DISTINCT FROM b.k")
 def join_null_keys(t):
-    third = lambda c: F.nullif(c % 3, F.lit(0))
-    return R.join_rows(t("supplier").filter("s_suppkey <= 10"), t("customer").filter("c_custkey < 100"), lambda d: third(d["s_nationkey"]), lambda d: third(d["c_nationkey"])).select(F.col("l.s_suppkey").alias("a"), F.col("r.c_custkey").alias("b"))
+    """One null on the left meets a fifth of the right, which is one hot key."""
+    left, right = lambda d: F.nullif(d["s_suppkey"], F.lit(3)), lambda d: F.when(d["c_custkey"] % 5 != 0, d["c_custkey"])
+    return R.join_rows(t("supplier"), t("customer"), left, right).select(F.col("l.s_suppkey").alias("a"), F.col("r.c_custkey").alias("b"))
 
 
 @plan("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
@@ -230,10 +231,9 @@ def filter_none_anti(t):
     return R.anti_rows(t("customer"), t("orders"), F.col("o_custkey") == F.col("c_custkey")).select("c_custkey")
 
 
-@plan("SELECT o_orderkey, s_suppkey FROM orders JOIN supplier ON o_totalprice / 100 >= s_acctbal AND o_totalprice / 100 < s_acctbal + 25 WHERE o_orderkey % 10 = 0")
+@plan("SELECT o_orderkey, s_suppkey FROM orders JOIN supplier ON o_totalprice / 100 >= s_acctbal AND o_totalprice / 100 < s_acctbal + 25")
 def theta_range_join(t):
-    few = t("orders").filter("o_orderkey % 10 = 0").select("o_orderkey", "o_totalprice")
-    return R.range_join(few, t("supplier").select("s_suppkey", "s_acctbal"), F.col("o_totalprice") / 100, F.col("s_acctbal"), F.col("s_acctbal") + 25, 25.0).select("o_orderkey", "s_suppkey")
+    return R.range_join(t("orders").select("o_orderkey", "o_totalprice"), t("supplier").select("s_suppkey", "s_acctbal"), F.col("o_totalprice") / 100, F.col("s_acctbal"), F.col("s_acctbal") + 25, 25.0).select("o_orderkey", "s_suppkey")
 
 
 @plan("SELECT r_name, n_name FROM region, nation")
@@ -263,3 +263,25 @@ def session_windows(t):
     from loomframe.streaming import windows
 
     return windows.sessions(t("events"), "ts", "30 minutes", ["user_id"], n=F.count("*")).select("user_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
+
+
+@plan("SELECT c_mktsegment, c_custkey, c_name FROM customer QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_name DESC, c_custkey) = 1")
+def max_by_text(t):
+    return R.max_by(t("customer").select("c_mktsegment", "c_custkey", "c_name"), F.col("c_name"), "c_custkey", ["c_mktsegment"])
+
+
+@plan("SELECT o_custkey, o_orderkey, o_totalprice > 200000 AS big FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice > 200000 DESC, o_orderkey) = 1")
+def max_by_boolean(t):
+    d = t("orders").select("o_custkey", "o_orderkey", (F.col("o_totalprice") > 200000).alias("big"))
+    return R.max_by(d, F.col("big"), "o_orderkey", ["o_custkey"])
+
+
+@plan("SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS place, ts AS _at, user_id AS _part FROM events")
+def map_with_index_of_any_names(t):
+    d = t("events").select("event_id", F.col("ts").alias("_at"), F.col("user_id").alias("_part"))
+    return R.with_index(d, "event_id", "place")
+
+
+@plan("SELECT c_custkey, c_name FROM customer ORDER BY c_custkey DESC")
+def reverse_rows(t):
+    return R.reversed_rows(t("customer").select("c_custkey", "c_name"), "c_custkey")
