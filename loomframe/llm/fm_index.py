@@ -61,7 +61,7 @@ def suffix_order(tokens: np.ndarray) -> np.ndarray:
 
 
 class FMIndex:
-    """Sequences of symbols from 1, each closed by a sentinel of its own; searched backwards, many patterns at once."""
+    """Sequences of symbols from 1, each closed by a sentinel of its own; searched backwards, many at once."""
 
     def __init__(self, sequences: list[np.ndarray], symbols: int):
         m = len(sequences)
@@ -76,18 +76,33 @@ class FMIndex:
         self.below = np.r_[0, np.cumsum(np.bincount(text, minlength=symbols + 1))]
         self.size = len(text)
 
-    def search(self, patterns: np.ndarray, least: int) -> np.ndarray:
-        """Whether each row of `patterns` occurs `least` times or more; a row is left when its range gets too small."""
-        alive = np.arange(len(patterns))
-        lo, hi = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.size, np.int64)
-        for j in range(patterns.shape[1] - 1, -1, -1):
-            c = patterns[alive, j]
+    def intervals(self, text: np.ndarray, first: np.ndarray, sizes: np.ndarray, shortest: int, least: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sequence, start, end) of the maximal stretches of at least `shortest` symbols that occur `least` times or more.
+
+        Sequences stand in `text` from `first` on; all are streamed at once. Each
+        end has a matching statistic, the longest stretch up to it that occurs so
+        often: one backward search to the left, until its range gets too small.
+        The next end is then the farthest that could still have a stretch of
+        the wanted length with the symbol that did not fit.
+        """
+        out = []
+        at = np.flatnonzero(sizes >= shortest)
+        base, end = first[at], sizes[at].astype(np.int64)
+        pos, lo, hi = end.copy(), np.zeros(len(at), np.int64), np.full(len(at), self.size, np.int64)
+        while len(at):
+            c = text[base + pos - 1]
             both = self.bwt.rank(np.concatenate([c, c]), np.concatenate([lo, hi]))
-            lo, hi = self.below[c] + both[: len(c)], self.below[c] + both[len(c) :]
-            keep = hi - lo >= least
-            alive, lo, hi = alive[keep], lo[keep], hi[keep]
-            if not len(alive):
-                break
-        out = np.zeros(len(patterns), bool)
-        out[alive] = True
-        return out
+            low, high = self.below[c] + both[: len(c)], self.below[c] + both[len(c) :]
+            fits = high - low >= least
+            pos = pos - fits
+            stop = ~fits | (pos == 0)
+            found = np.flatnonzero(stop & (end - pos >= shortest))
+            if len(found):
+                out.append((at[found], pos[found], end[found]))
+            end = np.where(stop, np.minimum(end - 1, pos - 1 + shortest), end)
+            pos, lo, hi = np.where(stop, end, pos), np.where(stop, 0, low), np.where(stop, self.size, high)
+            left = end >= shortest
+            if not left.all():
+                at, base, end, pos, lo, hi = (x[left] for x in (at, base, end, pos, lo, hi))
+        none = np.zeros(0, np.int64)
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (none, none, none)

@@ -1,8 +1,10 @@
 """Substring dedup: windows of words that occur elsewhere, found with compressed FM-indexes.
 
-A shard holds the segments of its keys. Their words become symbols, an FM-index
-with a wavelet matrix is built over them, and every window of each segment is
-searched backwards, all at once; windows that occur twice or more are reported.
+A shard holds the segments of its keys. Their words become symbols, and an
+FM-index with a wavelet matrix is built over them. The segments are then streamed
+through it, all at once: backward search gives matching statistics (the longest
+stretch up to each end that occurs twice or more), and the intervals of at least
+a window's length are reported.
 See `repeats` for how segments reach their shard and what happens around it.
 
 Words are runs other than space and bytes 9 to 13, unchanged. Defined results:
@@ -27,17 +29,14 @@ def shard(window: int):
     def resolve(payloads: list[bytes], only: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         vocabulary: dict[bytes, int] = {}
         sequences = [np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in p.split(b" ")], np.int64) for p in payloads]
-        counts = np.array([len(s) - window + 1 if o else 0 for s, o in zip(sequences, only, strict=True)])
-        which = np.repeat(np.arange(len(payloads)), counts)
-        at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        if not len(which):
-            return which, at
+        if not only.any():
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         index = FMIndex(sequences, len(vocabulary))
-        joined = np.concatenate(sequences)
-        base = np.cumsum([len(s) for s in sequences]) - [len(s) for s in sequences]
-        views = np.lib.stride_tricks.sliding_window_view(joined, window)
-        twice = np.concatenate([index.search(views[(base[which[lo : lo + 50_000]] + at[lo : lo + 50_000])], 2) for lo in range(0, len(which), 50_000)])
-        return which[twice], at[twice]
+        sizes = np.array([len(s) for s in sequences])
+        asked = np.flatnonzero(only)
+        which, start, end = index.intervals(np.concatenate(sequences), (np.cumsum(sizes) - sizes)[asked], sizes[asked], window)
+        counts = end - start - window + 1
+        return np.repeat(asked[which], counts), np.repeat(start - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
 
     return resolve
 

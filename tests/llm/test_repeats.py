@@ -138,8 +138,17 @@ def test_suffix_array_and_fm_index():
         for a in (1, 2, 90):
             t = rng.integers(0, a, n)
             assert suffix_array.suffix_array(t).tolist() == sorted(range(n), key=lambda i: t[i:].tolist())
+    rows = rng.integers(0, 3, (3, 200))
+    wide = suffix_array.packed(31, *rows)
+    assert np.array_equal(np.argsort(wide, kind="stable"), np.lexsort(rows[::-1])) and (np.diff(np.sort(wide)) == 0).sum() == 200 - len(set(map(tuple, rows.T.tolist())))
     sequences = [rng.integers(1, 5, 60) for _ in range(30)]
     index = fm_index.FMIndex(sequences, 5)
-    patterns = np.array([s[i : i + 6] for s in sequences for i in range(55)])
-    seen = Counter(map(tuple, patterns.tolist()))
-    assert index.search(patterns, 2).tolist() == [seen[tuple(p)] > 1 for p in patterns.tolist()]
+    joined, first = np.concatenate(sequences), np.arange(30) * 60
+    for shortest in (1, 6, 60):
+        seen = Counter(tuple(s[i : i + shortest]) for s in sequences for i in range(61 - shortest))
+        want = {(k, i) for k, s in enumerate(sequences) for i in range(61 - shortest) if seen[tuple(s[i : i + shortest])] > 1}
+        which, start, end = index.intervals(joined, first, np.full(30, 60), shortest)
+        assert {(k, i) for k, a, b in zip(which.tolist(), start.tolist(), end.tolist()) for i in range(a, b - shortest + 1)} == want
+        for k, a, b in zip(which.tolist(), start.tolist(), end.tolist()):  # none can be longer
+            longer = lambda x, y: sum(s[i : i + y - x].tolist() == sequences[k][x:y].tolist() for s in sequences for i in range(61 - y + x))
+            assert longer(a, b) > 1 and (a == 0 or longer(a - 1, b) < 2)
