@@ -14,9 +14,10 @@ def names(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return order, name, int(name[order[-1]]) + 1 if len(keys) else 0
 
 
-def pack(s: np.ndarray, at: np.ndarray, width: int, third: np.ndarray | None = None) -> np.ndarray:
-    """Two symbols and a third (or `third`) from each place as one integer."""
-    return (s[at] << (2 * width)) | (s[at + 1] << width) | (s[at + 2] if third is None else third)
+def packed(width: int, first: np.ndarray, second: np.ndarray, third: np.ndarray) -> np.ndarray:
+    """Rows of three numbers of up to `width` bits as integers in the rows' order; pairs are named first where three do not fit."""
+    pair = (first << width) | second
+    return ((pair if 3 * width <= 63 else names(pair)[1]) << width) | third
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -33,11 +34,9 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     s = np.zeros(n + 3, np.int64)
     s[:n] = names(text)[1] + 1
     width = max(int(s.max()).bit_length(), (2 * n // 3 + 3).bit_length())
-    if width > 21:
-        raise ValueError("a shard is too long for packed triples")
     ones, twos, noughts = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3), np.arange(0, n, 3)
     sample = np.concatenate([ones, twos])
-    order, name, count = names(pack(s, sample, width))
+    order, name, count = names(packed(width, s[sample], s[sample + 1], s[sample + 2]))
     if count < len(sample):
         order = suffix_array(name + 1)
     rank = np.zeros(n + 3, np.int64)
@@ -48,7 +47,9 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     zero = noughts[np.argsort(key0)]  # the ranks tell all apart
     in1, in2 = sampled[sampled % 3 == 1], sampled[sampled % 3 == 2]
     before = np.searchsorted((s[in1] << width) | rank[in1 + 1], (s[zero] << width) | rank[zero + 1])
-    before += np.searchsorted(pack(s, in2, width, rank[in2 + 2]), pack(s, zero, width, rank[zero + 2]))
+    both = np.concatenate([in2, zero])
+    keys = packed(width, s[both], s[both + 1], rank[both + 2])
+    before += np.searchsorted(keys[: len(in2)], keys[len(in2) :])
     out = np.full(n, -1, np.int64)
     out[np.arange(len(zero)) + before] = zero
     out[out < 0] = sampled
