@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 BUCKETS, ORDER = 1 << 15, 3
 LETTER = regex.compile(r"\p{L}")
-SMOOTH = 0.05
+SMOOTH = 0.01
 #: Odd multipliers that spread n-grams over the buckets.
 STEP, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
