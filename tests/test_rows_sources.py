@@ -1,6 +1,8 @@
 """Row operators, files and streams."""
 
 import json
+from email.headerregistry import HeaderRegistry
+from email.policy import HTTP
 
 import pytest
 from py4j.protocol import Py4JJavaError
@@ -96,6 +98,20 @@ def test_document_formats(spark):
         spark.range(1).select(FI.envelope_column(F.lit('{"@class":"java.lang.Long","value":"a"}'), "string")).collect()
 
 
+def test_multipart_headers(monkeypatch):
+    """Plain headers do without the email package's grammar; every header reads as by it."""
+    form = lambda *parts: "".join(f"--b\r\n{h}\r\n\r\n{c}\r\n" for h, c in parts) + "--b--\r\n"
+    plain = form(('Content-Disposition: form-data; name="a"', "1"), ('content-disposition: form-data; name="f"; filename="a b.txt"\r\nContent-Type: text/csv; name="x"\r\nContent-Transfer-Encoding: base64', "w6k="))
+    heads = ['form-data; name="é"', 'form-data; name="a  b"', 'form-data; name=""', 'form-data;name=a', "form-data; name=a (c)", 'form-data; name="a\\"b"', "form-data; filename*=utf-8''%C3%A9", 'form-data; name="=?utf-8?q?=C3=A9?="', 'form-data;\r\n name="a"', 'form-data; name="a"; name="b"', "form-data/x"]
+    odd = [form((f"Content-Disposition: {h}\r\nContent-Type: {k}", "x")) for h in heads for k in ("text", "text/plain; name=n", "multipart/mixed")]
+    with monkeypatch.context() as m:
+        m.setattr(DOC, "FORM", HTTP)
+        want = [DOC.multipart(d) for d in odd]
+    assert [DOC.multipart(d) for d in odd] == want
+    monkeypatch.setattr(HeaderRegistry, "__call__", lambda self, name, value: pytest.fail(f"parsed {name}"))
+    assert DOC.multipart(plain) == [{"name": "a", "filename": None, "contentType": None, "content": "1"}, {"name": "f", "filename": "a b.txt", "contentType": "text/csv", "content": "é"}]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     path = "/root/testdata/sf0.001"
     events = spark.read.parquet(f"{path}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
