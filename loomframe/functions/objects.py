@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomframe.functions.strings import fail_if
+from loomframe.functions.strings import fail_if, let
 
 
 def keys(m: Column) -> Column:
@@ -51,13 +51,10 @@ def pluck(m: Column, f: Callable[[Column, Column, Column], Column]) -> Column:
 def merge(first: Column, *others: Column) -> Column:
     """Later values win, at the key's first place; nulls are skipped. Each map is named twice, however many there are."""
     maps = [first, *others]
-    entries = F.flatten(F.filter(F.array(*[F.map_entries(m) for m in maps]), lambda e: e.isNotNull()))
     some = first.isNotNull()
     for m in others:
         some = some | m.isNotNull()
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    last = F.reverse(entries)
-    return F.when(some, F.map_from_arrays(keys, F.transform(keys, lambda k: F.get(F.filter(last, lambda e: e["key"] == k), F.lit(0))["value"])))
+    return F.when(some, array_to_object(F.flatten(F.filter(F.array(*[F.map_entries(m) for m in maps]), lambda e: e.isNotNull()))))
 
 
 update = concat = merge_with = merge
@@ -75,9 +72,12 @@ entries_of = entry_set = object_to_array
 
 
 def array_to_object(a: Column) -> Column:
-    """A map of {key, value} elements; of equal keys the last value."""
-    k = F.array_distinct(F.transform(a, lambda e: e["key"]))
-    return F.map_from_arrays(k, F.transform(k, lambda x: F.element_at(F.filter(a, lambda e: e["key"] == x), -1)["value"]))
+    """A map of {key, value} elements; of equal keys the last value, at the first's place."""
+
+    def last(entries: Column, keys: Column) -> Column:
+        return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"]))
+
+    return let(a, lambda entries: let(F.array_distinct(F.transform(entries, lambda e: e["key"])), lambda keys: last(entries, keys)))
 
 
 def has(m: Column, key: str) -> Column:

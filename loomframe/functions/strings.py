@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +11,11 @@ from pyspark.sql import functions as F
 SPACE = r"\p{IsWhite_Space}"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once a row: lambdas of arrays compute an expression anew for each element, a variable not."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fail_if(condition: Column, message: str, value: Column) -> Column:
     """`value`, or an error where the condition holds."""
     return F.when(condition, F.raise_error(F.lit(message))).otherwise(value)

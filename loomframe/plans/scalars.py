@@ -163,11 +163,11 @@ def objects_json(t):
 def objects_maps(t):
     a = F.create_map(F.lit("name"), F.col("c_name"), F.lit("seg"), F.lit("old"))
     b = F.create_map(F.lit("seg"), F.col("c_mktsegment"), F.lit("key"), F.col("c_custkey").cast("string"))
-    both = O.merge(a, b)
+    d, both = t("customer").select("c_custkey", O.merge(a, b).alias("both")), F.col("both")
     shown = O.pluck(O.map_object(both, lambda v, k: (k, F.when(k == "name", F.upper(v)).otherwise(v))), lambda v, k, i: F.concat(k, F.lit("="), v))
     order = A.order_by(O.keys(both), lambda k: F.when(k == "seg", 0).when(k == "key", 1).otherwise(2))
     back = O.array_to_object(A.reverse(O.object_to_array(F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2)))))
-    return t("customer").select("c_custkey", text(shown, ";").alias("mapped"), text(order).alias("names"), text(O.values(O.remove(both, "seg")), "|").alias("without"), text(O.keys(back)).alias("entries"))
+    return d.select("c_custkey", text(shown, ";").alias("mapped"), text(order).alias("names"), text(O.values(O.remove(both, "seg")), "|").alias("without"), text(O.keys(back)).alias("entries"))
 
 
 @plan("SELECT c_custkey, c_name || '!' AS deep_name, c_nationkey + 1 AS nation, c_name || ',' || c_mktsegment AS every FROM customer")

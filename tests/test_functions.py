@@ -83,3 +83,12 @@ def test_runtime(spark, monkeypatch):
     df, seen = runtime.logged(spark.range(5), n=F.count("*"))
     df.collect()
     assert seen.get == {"n": 5}
+
+
+def test_maps_compute_their_inputs_once(spark):
+    """A key made anew wherever it is named finds its value only if it is made once."""
+    made = F.create_map(F.uuid(), F.lit(1), F.uuid(), F.lit(2))
+    d = spark.range(3).select(O.values(O.merge(made, F.create_map(F.lit("k"), F.lit(3)), F.lit(None).cast("map<string,int>"))).alias("m"), O.values(O.array_to_object(O.object_to_array(made))).alias("o"), O.values(O.map_object(made, lambda v, k: (k, v + 1))).alias("p"))
+    assert [tuple(r) for r in d.collect()] == [([1, 2, 3], [1, 2], [2, 3])] * 3
+    none = F.lit(None).cast("map<string,int>")
+    assert spark.range(1).select(O.merge(none, none), O.array_to_object(O.object_to_array(none)), O.merge(none, F.create_map(F.lit("k"), F.lit(None).cast("int")))).first()[:] == (None, None, {"k": None})
