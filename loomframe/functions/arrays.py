@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomframe.functions.strings import fail_if
+from loomframe.functions.strings import fail_if, let
 
 Lambda = Callable[..., Column]
 
@@ -54,29 +54,33 @@ def group_by(a: Column, key: Lambda) -> Column:
     """map<string, array> by the key's text, in order of first appearance."""
     from loomframe.functions.strings import to_text
 
-    keys = F.array_distinct(F.transform(a, lambda x: to_text(key(x))))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.filter(a, lambda x: to_text(key(x)) == k)))
+    def grouped(rows: Column, keys: Column) -> Column:
+        return F.map_from_arrays(keys, F.transform(keys, lambda k: F.transform(F.filter(rows, lambda r: r["k"] == k), lambda r: r["x"])))
+
+    rows = F.transform(a, lambda x: F.struct(to_text(key(x)).alias("k"), x.alias("x")))
+    return let(rows, lambda rows: let(F.array_distinct(F.transform(rows, lambda r: r["k"])), lambda keys: grouped(rows, keys)))
 
 
 def order_by(a: Column, key: Lambda, descending: bool = False) -> Column:
     """Stable, by keys of any type that has an order."""
     place = (lambda i: -i) if descending else (lambda i: i)
-    rows = F.array_sort(F.transform(a, lambda x, i: F.struct(key(x).alias("k"), place(i).alias("i"), x.alias("x"))))
-    return F.transform(F.reverse(rows) if descending else rows, lambda r: r["x"])
+    rows = F.sort_array(F.transform(a, lambda x, i: F.struct(key(x).alias("k"), place(i).alias("i"), x.alias("x"))), asc=not descending)
+    return F.transform(rows, lambda r: r["x"])
 
 
 def sort(a: Column) -> Column:
     """An error for a null element."""
-    return fail_if(F.exists(a, lambda x: x.isNull()), "sort: null element", F.array_sort(a))
+    return fail_if(F.exists(a, lambda x: x.isNull()), "sort: null element", F.sort_array(a))
 
 
 def distinct_by(a: Column, key: Lambda) -> Column:
     """The first element of each key, by two sorts."""
-    rows = F.array_sort(F.transform(a, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x"))))
-    before = F.concat(F.array(F.lit(None)), F.slice(rows, F.lit(1), F.greatest(F.size(rows) - 1, F.lit(0))))
-    new = lambda r, b: F.when(b.isNull() | ~r["k"].eqNullSafe(b["k"]), F.struct(r["i"].alias("i"), r["x"].alias("x")))
-    firsts = F.filter(F.zip_with(rows, before, lambda r, b: F.when(r.isNotNull(), new(r, b))), lambda r: r.isNotNull())
-    return F.transform(F.array_sort(firsts), lambda r: r["x"])
+    def firsts(rows: Column) -> Column:
+        new = F.filter(rows, lambda r, at: (at == 0) | ~r["k"].eqNullSafe(F.get(rows, at - 1)["k"]))
+        return F.sort_array(F.transform(new, lambda r: F.struct(r["i"].alias("i"), r["x"].alias("x"))))
+
+    rows = F.sort_array(F.transform(a, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x"))))
+    return F.transform(let(rows, firsts), lambda r: r["x"])
 
 
 def unique(a: Column) -> Column:
@@ -193,7 +197,7 @@ def concat(a: Column, b: Column) -> Column:
 
 def remove(a: Column, b: Column) -> Column:
     """Elements of `a` not in `b`; what is kept keeps its repeats."""
-    return F.filter(a, lambda x: ~F.exists(b, lambda y: x.eqNullSafe(y)))
+    return let(b, lambda b: F.filter(a, lambda x: ~F.exists(b, lambda y: x.eqNullSafe(y))))
 
 
 def remove_value(a: Column, v: Column) -> Column:
@@ -260,8 +264,8 @@ def split_where(a: Column, p: Lambda) -> Column:
 def divide_by(a: Column, n: int) -> Column:
     """Chunks of n."""
     step = n if n > 1 else 1
-    starts = F.when(F.size(a) > 0, F.sequence(F.lit(1), F.size(a), F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.slice(a, i, F.lit(step)))
+    starts = lambda a: F.when(F.size(a) > 0, F.sequence(F.lit(1), F.size(a), F.lit(step))).otherwise(F.array().cast("array<int>"))
+    return let(a, lambda a: F.transform(starts(a), lambda i: F.slice(a, i, F.lit(step))))
 
 
 def join_by(a: Column, separator: str) -> Column:

@@ -68,7 +68,7 @@ def placed(df: DataFrame, order: Order) -> tuple[DataFrame, str]:
 def group_rows(df: DataFrame, key: Column, order: Order, *kept: str) -> DataFrame:
     """(key as text, rows in order). For sums and counts of groups use group_aggregate, which keeps no rows."""
     row = F.struct(*names(order), *[c for c in (kept or df.columns) if c not in names(order)])
-    return df.groupBy(to_text(key).alias("key")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    return df.groupBy(to_text(key).alias("key")).agg(F.sort_array(F.collect_list(row)).alias("rows"))
 
 
 def group_aggregate(df: DataFrame, keys: dict[str, Column], **aggregates: Column) -> DataFrame:
@@ -89,7 +89,7 @@ def fold(df: DataFrame, kind: str, c: Column, name: str = "value") -> DataFrame:
 
 def reduce_rows(df: DataFrame, keys: Sequence[str], order: Order, value: Column, start: Column, step: Callable[[Column, Column], Column], name: str = "value") -> DataFrame:
     """An ordered left fold of each group, for folds that FOLDS does not name; a group's values meet in one row."""
-    said = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*names(order), value.alias("_v")))).alias("_rows"))
+    said = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*names(order), value.alias("_v")))).alias("_rows"))
     return said.select(*keys, F.aggregate("_rows", start, lambda acc, r: step(acc, r["_v"])).alias(name))
 
 
@@ -199,7 +199,7 @@ def divide_rows(df: DataFrame, n: int, order: Order, *kept: str) -> DataFrame:
     """(chunk, rows): n rows in order to a chunk."""
     at, index = placed(df, order)
     row = F.struct(F.col(index), *(kept or df.columns))
-    return at.groupBy(F.floor(F.col(index) / max(n, 1)).alias("chunk")).agg(F.transform(F.array_sort(F.collect_list(row)), lambda r: F.struct(*[r[c].alias(c) for c in (kept or df.columns)])).alias("rows"))
+    return at.groupBy(F.floor(F.col(index) / max(n, 1)).alias("chunk")).agg(F.transform(F.sort_array(F.collect_list(row)), lambda r: F.struct(*[r[c].alias(c) for c in (kept or df.columns)])).alias("rows"))
 
 
 def split_at(df: DataFrame, n: int, order: Order) -> tuple[DataFrame, DataFrame]:

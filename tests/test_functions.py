@@ -92,3 +92,26 @@ def test_maps_compute_their_inputs_once(spark):
     assert [tuple(r) for r in d.collect()] == [([1, 2, 3], [1, 2], [2, 3])] * 3
     none = F.lit(None).cast("map<string,int>")
     assert spark.range(1).select(O.merge(none, none), O.array_to_object(O.object_to_array(none)), O.merge(none, F.create_map(F.lit("k"), F.lit(None).cast("int")))).first()[:] == (None, None, {"k": None})
+
+
+def test_arrays_compute_their_inputs_once(spark):
+    """Equal elements made anew wherever the array is named are only equal if it is made once."""
+    made = lambda: F.array_repeat(F.uuid(), 4)
+    d = spark.range(3).select(
+        F.size(A.distinct_by(made(), lambda x: x)).alias("distinct"), F.size(F.array_distinct(F.flatten(A.divide_by(made(), 1)))).alias("chunks"),
+        F.transform(F.map_values(A.group_by(made(), lambda x: x)), lambda v: F.size(v)).alias("groups"),
+    )
+    assert [tuple(r) for r in d.collect()] == [(1, 1, [4])] * 3
+
+
+def test_orders_with_nulls(spark):
+    a = L(3, None, 1, None, 3, kind="int")
+    row = spark.range(1).select(
+        A.order_by(a, lambda x: x).alias("up"), A.order_by(a, lambda x: x, descending=True).alias("down"), A.order_by(L(4, 1, 2, 3), lambda x: x % 2, descending=True).alias("ties"),
+        A.distinct_by(a, lambda x: x).alias("first"), A.distinct_by(L(5, 2, 7, 4, 9), lambda x: x % 2).alias("parity"), A.distinct_by(L(), lambda x: x).alias("empty"), A.distinct_by(F.lit(None).cast("array<int>"), lambda x: x).alias("null"),
+        A.remove(a, L(None, 1)).alias("removed"), A.group_by(a, lambda x: x).alias("groups"), A.divide_by(L(1, 2, 3), 2).alias("chunks"),
+    ).first()
+    assert row.asDict() == {
+        "up": [None, None, 1, 3, 3], "down": [3, 3, 1, None, None], "ties": [1, 3, 4, 2], "first": [3, None, 1], "parity": [5, 2], "empty": [], "null": None,
+        "removed": [3, 3], "groups": {"3": [3, 3], "null": [None, None], "1": [1]}, "chunks": [[1, 2], [3]],
+    }
