@@ -259,8 +259,25 @@ def anti_rows(a: DataFrame, b: DataFrame, on: Column) -> DataFrame:
     return a.join(b, on, "left_anti")
 
 
+#: Rows of the smaller side that a range join packs in one array.
+CHUNK = 256
+
+
 def range_join(a: DataFrame, b: DataFrame, point: Column, low: Column, high: Column, width: float) -> DataFrame:
-    """Rows of a and b where low <= point < high, over buckets of `width`: an equality join, not all pairs."""
-    x = a.withColumn("_bucket", F.floor(point / width))
-    y = b.withColumn("_bucket", F.explode(F.sequence(F.floor(low / width), F.floor(high / width))))
-    return x.join(y, "_bucket").filter((point >= low) & (point < high)).drop("_bucket")
+    """Rows of a and b where low <= point < high, over buckets of `width`: an equality join, not all pairs.
+
+    Pairs can be far more than rows, so the join meets not b's rows but arrays of
+    at most CHUNK of them, sorted by `low` within a bucket, and skips those that
+    lie apart from the point. Rows of a are dealt out evenly first: how a's files
+    are split says nothing of the pairs. Columns may have any names.
+    """
+    tag = uuid.uuid4().hex
+    bucket, at, start, end, row, chunk, rows, first, last = (f"{n}_{tag}" for n in ("bucket", "at", "start", "end", "row", "chunk", "rows", "first", "last"))
+    x = a.select("*", point.alias(at)).withColumn(bucket, F.floor(F.col(at) / width)).repartition(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    y = b.select("*", low.alias(start), high.alias(end))
+    y = y.select(F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))).alias(bucket), start, end, F.struct("*").alias(row))
+    # Only equal rows tie, so a retry numbers the others as before.
+    y = y.sort(bucket, start, end, F.xxhash64(F.to_json(row))).withColumn(chunk, F.floor(F.monotonically_increasing_id() / CHUNK))
+    y = y.groupBy(bucket, chunk).agg(F.min(start).alias(first), F.max(end).alias(last), F.collect_list(row).alias(rows))
+    met = x.join(y, bucket).filter((F.col(at) >= F.col(first)) & (F.col(at) < F.col(last))).drop(bucket, chunk, first, last)
+    return met.select("*", F.inline(rows)).filter((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop(at, rows, start, end)

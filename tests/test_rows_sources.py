@@ -49,6 +49,26 @@ def test_keys_with_nulls(spark):
     assert R.max_by(d.limit(0), F.col("pos"), "pos").count() == 0
 
 
+def test_range_join_packs_and_deals_out(spark, tmp_path):
+    """Odd values, a bucket of more rows than an array holds, columns of any names, and one partition of points."""
+    odd = [None, float("nan"), 0.0, -0.0, 24.999, 25.0, -1.0, 50.0]
+    points = [*enumerate(odd + [i * 0.7 for i in range(300)])]
+    spark.createDataFrame(points, "id long, `_bucket` double").coalesce(1).write.parquet(str(tmp_path / "a"))
+    ranges = [(k, lo, hi, {"k": k}) for k, (lo, hi) in enumerate([(0.0, 25.0), (None, 1.0), (1.0, None), (30.0, 10.0), (5.0, 5.0), (-10.0, 130.0), (24.999, 25.0)] + [(30.0, 31.0)] * 700 + [(31.0 + i / 900, 33.0) for i in range(600)])]
+    ranges += ranges[-5:]
+    spark.createDataFrame(ranges, "`k.y` long, low double, high double, m map<string,long>").write.parquet(str(tmp_path / "b"))
+    a, b = spark.read.parquet(str(tmp_path / "a")), spark.read.parquet(str(tmp_path / "b"))
+    got = R.range_join(a, b, a["_bucket"], b["low"], b["high"], 25.0)
+    assert got.columns == ["id", "_bucket", "k.y", "low", "high", "m"]
+    seen = got.collect()
+    want = [(i, k) for i, p in points for k, lo, hi, _ in ranges if None not in (p, lo, hi) and lo <= p < hi]
+    assert sorted((r["id"], r["k.y"]) for r in seen) == sorted(want) and all(r["m"] == {"k": r["k.y"]} for r in seen)
+    spark.range(50000).coalesce(1).write.parquet(str(tmp_path / "c"))
+    c = spark.read.parquet(str(tmp_path / "c"))
+    assert R.range_join(c, b, c["id"], b["low"], b["high"], 25.0).select(F.spark_partition_id()).distinct().count() > 1
+    assert R.range_join(a, b.limit(0), a["_bucket"], b["low"], b["high"], 25.0).count() == 0
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text("name,age\nAlice,30\nBob,007\n")
     assert [tuple(r) for r in FI.read_csv(spark, str(tmp_path / "a.csv")).collect()] == [("Alice", "30"), ("Bob", "007")]
